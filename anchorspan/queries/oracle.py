@@ -3,5 +3,59 @@
 from __future__ import annotations
 
 
+def chrom_key_sql(c: str) -> str:
+    """SQL of the chromosome key of a column."""
+    t = f"trim({c}, ' ' || chr(9) || chr(10) || chr(13))"
+    bare = f"upper(CASE WHEN length({t}) > 3 AND lower(substr({t}, 1, 3)) = 'chr' THEN substr({t}, 4) ELSE {t} END)"
+    return f"CASE WHEN {bare} = 'M' THEN 'MT' ELSE {bare} END"
+
+
+PROBLEMS = {
+    "p1_found": f"""
+WITH r AS (SELECT 'bed_records' AS record_table, {chrom_key_sql("chrom")} AS chrom_key FROM bed_records
+UNION ALL SELECT 'vcf_records', {chrom_key_sql("chrom")} FROM vcf_records),
+c AS (SELECT record_table, chrom_key, count(*) AS n FROM r WHERE chrom_key IS NOT NULL GROUP BY 1, 2)
+SELECT record_table, chrom_key FROM (SELECT *, sum(n) OVER (PARTITION BY record_table) AS t FROM c) WHERE n >= 0.05 * t
+""",
+    "p1_chrom_stats": f"""
+WITH r AS (SELECT 'bed_records' AS record_table, {chrom_key_sql("chrom")} AS chrom_key, chrom_end - chrom_start AS v FROM bed_records
+UNION ALL SELECT 'vcf_records', {chrom_key_sql("chrom")}, length(ref_allele) FROM vcf_records),
+f AS (SELECT record_table, chrom_key, v, count(*) AS n FROM r WHERE chrom_key IS NOT NULL GROUP BY 1, 2, 3),
+m AS (SELECT record_table, chrom_key, v AS mode, n AS mode_freq FROM f WHERE v IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY record_table, chrom_key ORDER BY n DESC, v) = 1),
+c AS (SELECT record_table, chrom_key, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(CASE WHEN v IS NULL THEN 0 ELSE n END) AS BIGINT) AS n_values, count(v) AS n_distinct FROM f GROUP BY 1, 2),
+p AS (SELECT record_table, chrom_key, CAST(quantile_disc(v, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(v, 0.9) AS BIGINT) AS p90 FROM r WHERE chrom_key IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT {chrom_key_sql("chrom")} AS k, chrom_start AS s, chrom_end AS e FROM bed_records WHERE chrom IS NOT NULL AND chrom_end > chrom_start),
+g AS (SELECT k, s, e, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b),
+cov AS (SELECT 'bed_records' AS record_table, k AS chrom_key, CAST(sum(greatest(0, e - greatest(s, coalesce(before, s)))) AS BIGINT) AS covered FROM g GROUP BY k)
+SELECT c.record_table, c.chrom_key, n_rows, n_values, n_distinct, CAST(mode AS BIGINT) AS mode, mode_freq, p50, p90, covered
+FROM c LEFT JOIN m USING (record_table, chrom_key) LEFT JOIN p USING (record_table, chrom_key) LEFT JOIN cov USING (record_table, chrom_key)
+""",
+    "p5_found": f"""
+WITH a AS (SELECT trim(lift_key) AS k, {chrom_key_sql("chrom")} AS c, chrom_start AS s, chrom_end AS e, strand AS d FROM lift_ref WHERE lift_key IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY trim(lift_key) ORDER BY loaded_at DESC) = 1),
+b AS (SELECT trim(lift_key) AS k, {chrom_key_sql("chrom")} AS c, chrom_start AS s, chrom_end AS e, strand AS d FROM lift_test WHERE lift_key IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY trim(lift_key) ORDER BY loaded_at DESC) = 1)
+SELECT k AS lift_key, 'missing_in_test' AS diff_kind FROM a ANTI JOIN b USING (k)
+UNION ALL SELECT k, 'missing_in_ref' FROM b ANTI JOIN a USING (k)
+UNION ALL SELECT a.k, 'chrom' FROM a JOIN b USING (k) WHERE a.c IS DISTINCT FROM b.c
+UNION ALL SELECT a.k, 'chrom_start' FROM a JOIN b USING (k) WHERE (a.s IS NULL) <> (b.s IS NULL) OR abs(a.s - b.s) >= 2
+UNION ALL SELECT a.k, 'chrom_end' FROM a JOIN b USING (k) WHERE (a.e IS NULL) <> (b.e IS NULL) OR abs(a.e - b.e) >= 2
+UNION ALL SELECT a.k, 'strand' FROM a JOIN b USING (k) WHERE a.d IS DISTINCT FROM b.d
+""",
+    "p2_found": f"""
+WITH RECURSIVE p AS (SELECT DISTINCT ON (point_id) point_id, track_id, {chrom_key_sql("chrom")} AS k, point_start AS s, point_end AS e, CASE WHEN isnan(point_value) THEN NULL ELSE point_value END AS v FROM wig_points WHERE chrom IS NOT NULL ORDER BY point_id, loaded_at),
+o AS (SELECT *, row_number() OVER (PARTITION BY track_id, k ORDER BY s) AS i FROM p),
+f AS (SELECT track_id, k, i, s AS run_start, s AS first_s, e AS reach, v AS head, v FROM o WHERE i = 1
+UNION ALL SELECT o.track_id, o.k, o.i,
+CASE WHEN abs(o.v - f.head) < 1e-10 AND o.s <= f.reach THEN f.run_start ELSE o.s END, o.s,
+CASE WHEN abs(o.v - f.head) < 1e-10 AND o.s <= f.reach THEN greatest(f.reach, o.e) ELSE o.e END,
+CASE WHEN abs(o.v - f.head) < 1e-10 AND o.s <= f.reach THEN f.head ELSE o.v END, o.v
+FROM f JOIN o ON o.track_id = f.track_id AND o.k = f.k AND o.i = f.i + 1)
+SELECT track_id, k AS chrom_key, run_start, max(reach) AS run_end, count(*) AS n_points FROM f WHERE v IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1
+""",
+}
+
+
 def all_sql() -> dict[str, str]:
-    return {}
+    return dict(PROBLEMS)
