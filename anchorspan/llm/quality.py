@@ -5,7 +5,7 @@ characters join the word and sign statistics of the document. Gradient-boosted t
 weakly labelled texts: documents that are of one kind nearly throughout by their shapes, and texts put together from two
 of them, labelled by the larger part. Their probabilities are calibrated on a hand-checked holdout.
 
-The sample for training is bounded by ``fit_rows`` and drawn by a hash of the id; every document is scored whole.
+The sample for training is bounded by ``fit_rows`` and chosen by a hash of the id; every document is scored whole.
 
 Defined results: a null, empty or blank text has zero words and lines, null means and shares, and is no case of any
 kind; common words are compared without case over all languages given; repeated rows give repeated rows.
@@ -335,9 +335,14 @@ def train(texts: Iterable[str], common: frozenset[str], holdout: Iterable[tuple[
 
 
 def fit_model(docs: DataFrame, common: frozenset[str], holdout: Iterable[tuple[str, str]], fit_rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text") -> BoostedTrees:
-    """Trains on a bounded sample: the ``fit_rows`` texts of at most FIT_CHARS characters with the least hash of the id."""
-    usable = docs.where(F.col(text_column).isNotNull() & (F.length(text_column) <= FIT_CHARS)).select(F.xxhash64(id_column).alias("h"), F.col(text_column).alias("t"))
-    sample = [r["t"] for r in usable.orderBy("h", "t").limit(fit_rows).collect()]
+    """Trains on about ``fit_rows`` texts of at most FIT_CHARS characters, twice as many at most, chosen by a hash of the id.
+
+    The share of hashes taken follows from the count of rows, so what the tasks send to the driver has a fixed size.
+    """
+    share = min(1.0, fit_rows / max(1, docs.count()))
+    chosen = F.xxhash64(id_column) <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
+    usable = docs.where(F.col(text_column).isNotNull() & (F.length(text_column) <= FIT_CHARS) & chosen)
+    sample = sorted(r[0] for r in usable.select(text_column).limit(2 * fit_rows).collect())
     return train(sample, common, holdout)
 
 
