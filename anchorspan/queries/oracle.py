@@ -58,4 +58,6 @@ SELECT track_id, k AS chrom_key, run_start, max(reach) AS run_end, count(*) AS n
 
 
 def all_sql() -> dict[str, str]:
-    return dict(PROBLEMS)
+    from anchorspan.queries import domain_sql
+
+    return PROBLEMS | domain_sql.SQL
