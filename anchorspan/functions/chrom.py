@@ -14,6 +14,11 @@ def trimmed(col: Column) -> Column:
     return F.btrim(col, F.lit(BLANKS))
 
 
+def rtrimmed(col: Column) -> Column:
+    """col without white space at its end."""
+    return F.rtrim(col, F.lit(BLANKS))
+
+
 def has_prefix(name: Column) -> Column:
     """Whether the name starts with chr (any case) and goes on after it."""
     return (F.length(name) > 3) & (F.lower(F.substring(name, 1, 3)) == "chr")

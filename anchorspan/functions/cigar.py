@@ -7,9 +7,11 @@ from bisect import bisect_right
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from anchorspan.session import ship
+
 #: The nine operations, and those that use up reference and read.
 OPERATIONS = "MIDNSHP=X"
 ON_REFERENCE = "MDN=X"
@@ -94,6 +96,7 @@ def _join(parts: list[tuple[int, str]]) -> str:
 
 def broken(cigar: Column, at: Column) -> Column:
     """struct<left, right>: break_cigar() of each row."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("struct<left string, right string>")
     def pair(cigars: pd.Series, places: pd.Series) -> pd.DataFrame:

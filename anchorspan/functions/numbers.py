@@ -6,13 +6,15 @@ import math
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from anchorspan.session import ship
+
 
 def unsigned(col: Column) -> Column:
     """A whole number without sign (one leading + is allowed) as BIGINT; null for anything else, blanks around it included."""
-    return F.when(col.rlike(r"\A\+?[0-9]+\z"), F.regexp_replace(col, r"^\+", "").try_cast("bigint"))
+    return F.when(col.rlike(r"\A\+?[0-9]+\z"), col.try_cast("bigint"))
 
 
 def real(col: Column) -> Column:
@@ -36,6 +38,7 @@ def shortest(value: float | None) -> str | None:
 
 def plain_double(col: Column) -> Column:
     """shortest() of each value."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("string")
     def text(values: pd.Series) -> pd.Series:

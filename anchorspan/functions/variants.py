@@ -27,7 +27,7 @@ def info_map(info: Column) -> Column:
     """map<string, string> of an INFO field; '' for flags; of repeated keys the last holds; '.' is an empty map."""
     pairs = F.transform(_items(F.when(info != ".", info).otherwise("")), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(F.instr(x, "=") > 0, x.substr(F.instr(x, "=") + 1, F.length(x))).otherwise("").alias("v")))
     kept = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["k"] == p["k"]))
-    return F.map_from_entries(kept)
+    return F.when(info.isNotNull(), F.map_from_entries(kept))
 
 
 def replace_end(info: Column, end: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from anchorspan.functions import chrom as names
 from anchorspan.operators.intervals import BIN, interval_join
-from anchorspan.session import broadcast_if_small, fits
+from anchorspan.session import broadcast_if_small, fits, ship
 
 #: Blocks that are sent to every worker at most (about 60 bytes each).
 MAX_SENT = 500_000
@@ -79,8 +79,8 @@ class BlockIndex:
         place = {t: i for i, t in enumerate(self.targets)}
         self.target = np.array([place[t] for t in targets], dtype=np.int64)
         first = np.flatnonzero(np.append(True, chroms[1:] != chroms[:-1])) if len(chroms) else np.zeros(0, dtype=np.int64)
-        last = np.append(first[1:], len(chroms))
-        self.span = {chroms[a]: (int(a), int(b)) for a, b in zip(first, last, strict=True)}
+        bounds = [*first.tolist(), len(chroms)]
+        self.span = {chroms[a]: (a, b) for a, b in zip(bounds, bounds[1:], strict=False)}
         self.reach = self.end.copy()
         for a, b in self.span.values():
             self.reach[a:b] = np.maximum.accumulate(self.end[a:b])
@@ -141,6 +141,7 @@ class Lifter:
         self.blocks, self.style, self.width, self.compat_mode = blocks, names.parse_style(style), width, compat_mode
         self.spark: SparkSession = blocks.sparkSession
         self.sent = None
+        ship(self.spark)
         if fits(blocks, max_sent):
             self.index = BlockIndex(blocks.withColumn("block_id", F.row_number().over(Window.orderBy("block_id"))).toArrow())
             self.sent = self.spark.sparkContext.broadcast(self.index)

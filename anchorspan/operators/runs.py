@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from anchorspan.session import ship
+
 #: Positions in a chunk. A chunk is held in memory by one task, so this bounds its rows.
 CHUNK = 1 << 20
 FINAL, HEAD, BREAK, TAIL = 0, 1, 2, 3
@@ -129,6 +131,7 @@ def collapse_runs(
     run_value is the value of the first point; the duration is run_end - run_start. Two shuffles: the points by
     (entity, chunk), and the runs, of which a few rows per chunk go by entity and all others stay spread by chunk.
     """
+    ship(df.sparkSession)
     names = list(entity)
     rows = df.select(*[c.alias(k) for k, c in entity.items()], point_id.cast("bigint").alias("id"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), value.cast("double").alias("value"))
     rows = rows.dropna(subset=[*names, "start", "end", "id"])

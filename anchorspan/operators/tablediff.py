@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anchorspan.session import ship
+
 #: A chunk ends where the rolling hash is 0 modulo this; chunks have about so many rows.
 CHUNK_ROWS = 64
 #: Keys that the rolling hash spans.
@@ -73,6 +75,7 @@ def diff(
     diff_kind is missing[0] for a key only in right, missing[1] for a key only in left, else the differing field.
     Fields in ``tolerance`` are numbers that differ if they are more than so far apart.
     """
+    ship(left.sparkSession)
     tolerance = tolerance or {}
     fields = list(fields)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anchorspan.functions.chrom import rtrimmed
 from anchorspan.functions.numbers import unsigned
 from anchorspan.operators.lift import Lifter
 from anchorspan.plans.common import field, fields, joined, none_of, tail
@@ -22,7 +23,7 @@ def is_header(line: Column) -> Column:
 
 def parsed(rows: DataFrame) -> DataFrame:
     """rows (.., line) without blank and header lines, with fields, chrom, start, end, strand and bad (no three valid fields)."""
-    line = F.rtrim(F.regexp_replace("line", r"\s+\z", ""))
+    line = rtrimmed(F.col("line"))
     kept = rows.withColumn("line", line).where((F.col("line") != "") & ~is_header(F.col("line"))).withColumn("fields", fields(F.col("line")))
     start, end = unsigned(field(1)), unsigned(field(2))
     strand = F.when(field(5) == "-", "-").otherwise("+")
@@ -97,5 +98,5 @@ def _blocked_line() -> Column:
 
 def headers(rows: DataFrame) -> DataFrame:
     """The header lines, as they go to the output."""
-    line = F.regexp_replace("line", r"\s+\z", "")
+    line = rtrimmed(F.col("line"))
     return rows.where(is_header(line)).withColumn("line", line)

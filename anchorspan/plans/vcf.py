@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorspan.functions import dna, variants
+from anchorspan.functions.chrom import rtrimmed
 from anchorspan.functions.numbers import unsigned
 from anchorspan.operators.lift import Lifter
 from anchorspan.plans.bed import SEGMENTS
@@ -20,7 +21,7 @@ PROGRAM = "##liftOverProgram=anchorspan"
 
 
 def parsed(rows: DataFrame, trim: bool = True) -> DataFrame:
-    line = F.regexp_replace("line", r"\s+\z", "") if trim else F.col("line")
+    line = rtrimmed(F.col("line")) if trim else F.col("line")
     kept = rows.withColumn("line", line).where((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("fields", fields(F.col("line")))
     pos = unsigned(field(1))
     return kept.withColumns({"chrom": field(0), "pos": pos, "bad": F.coalesce((F.size("fields") < 8) | pos.isNull(), F.lit(True))})

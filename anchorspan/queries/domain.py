@@ -42,41 +42,32 @@ def lifter(spark: SparkSession, sf_dir: str, style: str = "a", max_sent: int = l
 
 
 def newest(df: DataFrame, key: str) -> DataFrame:
-    """One row per record id: the deliveries of a record are equal but for loaded_at."""
-    return df.drop("loaded_at").distinct() if "loaded_at" in df.columns else df.dropDuplicates([key])
-
-
-def text(*columns: str) -> Column:
-    """A line of the columns by tabs; a null column and all after it are left out."""
-    parts, live = [], F.lit(True)
-    for c in columns:
-        live = live & F.col(c).isNotNull()
-        parts.append(F.when(live, F.col(c).cast("string")))
-    return F.concat_ws("\t", *parts)
+    """One row per record id: the deliveries of a record are equal but for loaded_at. Cut df to the columns in need first."""
+    return df.drop("loaded_at").distinct()
 
 
 def bed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bed_records as BED lines: six columns, or twelve where the block columns are there. Null names, scores and strands become dots."""
-    df = newest(table(spark, sf_dir, "bed_records"), "bed_id").where(F.col("chrom").isNotNull())
+    df = table(spark, sf_dir, "bed_records").where(F.col("chrom").isNotNull())
     dotted = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     six = F.concat_ws("\t", "chrom", F.col("chrom_start").cast("string"), F.col("chrom_end").cast("string"), dotted("bed_name"), dotted("score"), dotted("strand"))
     more = F.concat_ws("\t", six, F.col("thick_start").cast("string"), F.col("thick_end").cast("string"), "item_rgb", F.col("block_count").cast("string"), "block_sizes", "block_starts")
     whole = F.col("thick_start").isNotNull() & F.col("thick_end").isNotNull() & F.col("item_rgb").isNotNull() & F.col("block_count").isNotNull() & F.col("block_sizes").isNotNull() & F.col("block_starts").isNotNull()
-    return df.select(F.col("bed_id").alias("at"), F.when(whole, more).otherwise(six).alias("line"))
+    return df.select(F.col("bed_id").alias("at"), F.when(whole, more).otherwise(six).alias("line")).distinct()
 
 
 def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = newest(table(spark, sf_dir, "vcf_records"), "vcf_id").where(F.col("chrom").isNotNull())
+    df = table(spark, sf_dir, "vcf_records").where(F.col("chrom").isNotNull())
     dotted = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     fields = ["chrom", F.col("pos").cast("string"), *[dotted(c) for c in ("variant_id", "ref_allele", "alt_alleles")], F.lit("."), dotted("filter_status"), dotted("info")]
-    return df.select(F.col("vcf_id").alias("at"), F.concat_ws("\t", *fields).alias("line"))
+    return df.select(F.col("vcf_id").alias("at"), F.concat_ws("\t", *fields).alias("line")).distinct()
 
 
 def gff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = newest(table(spark, sf_dir, "gff_records"), "gff_id").where(F.col("seqname").isNotNull())
+    df = table(spark, sf_dir, "gff_records").where(F.col("seqname").isNotNull())
     dotted = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     fields = ["seqname", dotted("gff_source"), dotted("feature"), F.col("feat_start").cast("string"), F.col("feat_end").cast("string"), F.lit("."), dotted("strand"), dotted("frame_code"), dotted("gff_attributes")]
-    return df.select(F.col("gff_id").alias("at"), F.concat_ws("\t", *fields).alias("line"))
+    return df.select(F.col("gff_id").alias("at"), F.concat_ws("\t", *fields).alias("line")).distinct()
 
 
 # ---- chains -------------------------------------------------------------------------------------------------------
@@ -150,7 +141,7 @@ def chrom_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def chrom_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records per table whose chromosome the chain has (semi join on resolved names)."""
-    bed = newest(table(spark, sf_dir, "bed_records"), "bed_id").select(F.col("chrom").alias("q_chrom"), "bed_id")
+    bed = newest(table(spark, sf_dir, "bed_records").select("bed_id", "chrom", "chrom_start", "chrom_end", "strand", "thick_start", "thick_end"), "bed_id").select(F.col("chrom").alias("q_chrom"), "bed_id")
     known = lift.resolved_names(bed, blocks(spark, sf_dir))
     return bed.join(known, "q_chrom", "left_semi").groupBy("q_chrom").agg(F.count(F.lit(1)).alias("n_records"))
 
@@ -159,7 +150,7 @@ def chrom_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dna_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complement, reverse complement, read reverse complement and validity of reference alleles."""
     r = F.col("ref_allele")
-    rows = newest(table(spark, sf_dir, "vcf_records"), "vcf_id")
+    rows = newest(table(spark, sf_dir, "vcf_records").select("vcf_id", "ref_allele", "alt_alleles", "info", "pos"), "vcf_id")
     return rows.select("vcf_id", dna.complement(r).alias("complement"), dna.revcomp(r).alias("revcomp"), dna.read_revcomp(r).alias("read_revcomp"), dna.is_dna(r).alias("is_dna"))
 
 
@@ -173,7 +164,7 @@ def strand_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def intersect_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the record and its thick part share."""
-    bed = newest(table(spark, sf_dir, "bed_records"), "bed_id").where(F.col("thick_start").isNotNull())
+    bed = newest(table(spark, sf_dir, "bed_records").select("bed_id", "chrom", "chrom_start", "chrom_end", "strand", "thick_start", "thick_end"), "bed_id").where(F.col("thick_start").isNotNull())
     both = intersect(F.col("chrom_start"), F.col("chrom_end"), F.col("thick_start"), F.col("thick_end"))
     return bed.select("bed_id", both["start"].alias("both_start"), both["end"].alias("both_end"))
 
@@ -182,7 +173,7 @@ def intersect_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def info_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of INFO by key, flags as empty texts, and END rewritten in both ways."""
     i = F.col("info")
-    rows = newest(table(spark, sf_dir, "vcf_records"), "vcf_id").where(i.isNotNull() & ~F.contains(i, F.lit('"')))
+    rows = newest(table(spark, sf_dir, "vcf_records").select("vcf_id", "info", "pos"), "vcf_id").where(i.isNotNull() & ~F.contains(i, F.lit('"')))
     got = variants.info_map(i)
     return rows.select(
         "vcf_id", F.try_element_at(got, F.lit("DP")).alias("dp"), F.try_element_at(got, F.lit("DB")).alias("db"), variants.info_value(i, "AF").alias("af"), variants.end_position(i).alias("end_position"),
@@ -192,13 +183,13 @@ def info_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vcf_variant_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = newest(table(spark, sf_dir, "vcf_records"), "vcf_id")
+    rows = newest(table(spark, sf_dir, "vcf_records").select("vcf_id", "ref_allele", "alt_alleles", "info", "pos"), "vcf_id")
     return rows.select("vcf_id", variants.variant_type(F.col("ref_allele"), F.coalesce("alt_alleles", F.lit("."))).alias("variant_type"), variants.is_non_ref(F.coalesce("alt_alleles", F.lit("."))).alias("is_non_ref"))
 
 
 def cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up CIGARs of bed_records: nine operations in turn, with neighbours of one kind."""
-    bed = newest(table(spark, sf_dir, "bed_records"), "bed_id")
+    bed = newest(table(spark, sf_dir, "bed_records").select("bed_id", "chrom", "chrom_start", "chrom_end", "strand", "thick_start", "thick_end"), "bed_id")
     size = F.col("chrom_end") - F.col("chrom_start")
     parts = [F.concat((F.pmod(size * (k + 3) + F.col("bed_id"), F.lit(50)) + 1).cast("string"), F.substring(F.lit("MIDNSHP=XMM"), (F.pmod(F.col("bed_id") + k * (k + 1) / 2, F.lit(11)) + 1).cast("int"), F.lit(1))) for k in range(5)]
     return bed.select("bed_id", F.concat(*parts).alias("cigar"))
@@ -222,7 +213,7 @@ def cigar_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str, style: str = "a", max_sent: int = lift.MAX_SENT) -> DataFrame:
-    bed = newest(table(spark, sf_dir, "bed_records"), "bed_id").select("bed_id", "chrom", "chrom_start", "chrom_end", "strand")
+    bed = newest(table(spark, sf_dir, "bed_records").select("bed_id", "chrom", "chrom_start", "chrom_end", "strand", "thick_start", "thick_end"), "bed_id").select("bed_id", "chrom", "chrom_start", "chrom_end", "strand")
     return lifter(spark, sf_dir, style, max_sent).with_segments(bed, "bed_id", F.col("chrom"), F.col("chrom_start"), F.col("chrom_end"), F.col("strand"))
 
 
@@ -267,7 +258,7 @@ def lift_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def map_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first place of the first base of every record."""
-    bed = newest(table(spark, sf_dir, "bed_records"), "bed_id").select("bed_id", "chrom", "chrom_start")
+    bed = newest(table(spark, sf_dir, "bed_records").select("bed_id", "chrom", "chrom_start", "chrom_end", "strand", "thick_start", "thick_end"), "bed_id").select("bed_id", "chrom", "chrom_start")
     got = lifter(spark, sf_dir).with_segments(bed, "bed_id", F.col("chrom"), F.col("chrom_start"), F.col("chrom_start") + 1, F.lit("+"))
     return got.where(F.size("segments") > 0).select("bed_id", F.get("segments", F.lit(0)).alias("g")).select("bed_id", "g.t_chrom", "g.t_start", "g.t_strand")
 
@@ -275,7 +266,7 @@ def map_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of GFF features and chain blocks that share a base, by chromosome key."""
-    gff = newest(table(spark, sf_dir, "gff_records"), "gff_id").where("feat_start <= feat_end").select("gff_id", names.chrom_key(F.col("seqname")).alias("k"), (F.col("feat_start") - 1).alias("s"), F.col("feat_end").alias("e"))
+    gff = newest(table(spark, sf_dir, "gff_records").select("gff_id", "seqname", "feat_start", "feat_end"), "gff_id").where("feat_start <= feat_end").select("gff_id", names.chrom_key(F.col("seqname")).alias("k"), (F.col("feat_start") - 1).alias("s"), F.col("feat_end").alias("e"))
     b = blocks(spark, sf_dir).select("block_id", names.chrom_key(F.col("source_chrom")).alias("bk"), "source_start", "source_end")
     return interval_join(gff, b, ["k", "s", "e"], ["bk", "source_start", "source_end"]).select("gff_id", "block_id")
 
@@ -299,7 +290,7 @@ def bed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of the hundredfold length around each BED record's start."""
-    bed = newest(table(spark, sf_dir, "bed_records"), "bed_id").where(F.col("chrom").isNotNull())
+    bed = newest(table(spark, sf_dir, "bed_records").select("bed_id", "chrom", "chrom_start", "chrom_end", "strand", "thick_start", "thick_end"), "bed_id").where(F.col("chrom").isNotNull())
     start, size = F.col("chrom_start"), F.col("chrom_end") - F.col("chrom_start")
     strand = F.coalesce("strand", F.lit("."))
     return bed.select(F.col("bed_id").alias("at"), F.concat_ws("\t", "chrom", start.cast("string"), (start + size * F.when(F.col("bed_id") % 3 == 0, 0).when(F.col("bed_id") % 3 == 1, 10).otherwise(100)).cast("string"), F.lit("r"), F.lit("0"), strand).alias("line"))
@@ -352,7 +343,7 @@ def lift_vcf_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fasta_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bases of the reference under each GFF feature, by a name with or without prefix; at most 40 bases a feature."""
-    gff = newest(table(spark, sf_dir, "gff_records"), "gff_id").select("gff_id", F.col("seqname").alias("q_name"), (F.col("feat_start") - 1).alias("q_from"), F.least("feat_end", F.col("feat_start") + 39).alias("q_to"))
+    gff = newest(table(spark, sf_dir, "gff_records").select("gff_id", "seqname", "feat_start", "feat_end"), "gff_id").select("gff_id", F.col("seqname").alias("q_name"), (F.col("feat_start") - 1).alias("q_from"), F.least("feat_end", F.col("feat_start") + 39).alias("q_to"))
     return fasta.with_bases(gff, reference(spark, sf_dir), "gff_id", "q_name", "q_from", "q_to", "bases").select("gff_id", "bases")
 
 
@@ -400,7 +391,7 @@ def wig_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up reads of bed_records: the interval as one match, every seventh unmapped, every third paired."""
-    bed = newest(table(spark, sf_dir, "bed_records"), "bed_id")
+    bed = newest(table(spark, sf_dir, "bed_records").select("bed_id", "chrom", "chrom_start", "chrom_end", "strand", "thick_start", "thick_end"), "bed_id")
     i = F.col("bed_id")
     flag = F.when(i % 7 == 0, 4).otherwise(0) + F.when(F.col("strand") == "-", 16).otherwise(0) + F.when(i % 3 == 0, 1).otherwise(0)
     seq = F.concat(F.substring(F.lit("ACGTN"), (i % 4 + 1).cast("int"), F.lit(2)), F.lit("acR"))

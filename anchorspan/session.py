@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,20 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of the session, wherever they run. Does so once per application."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="anchorspan-"), "anchorspan"), "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoint(): spark.checkpoint.dir if the session names one, else (tests only) a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -9,9 +9,10 @@ from __future__ import annotations
 import glob
 import gzip
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -100,6 +101,74 @@ def bam_header(path: str) -> list[str]:
         return f.read(struct.unpack("<i", f.read(4))[0]).rstrip(b"\0").decode("utf-8", "replace").splitlines()
 
 
+def _bgzf(data: bytes) -> bytes:
+    """One block of the blocked gzip format."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    return struct.pack("<4BI2BH2B2H", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<2I", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def _packed_tag(tag: str) -> bytes:
+    name, kind, value = tag.split(":", 2)
+    head = name.encode("latin-1")
+    if kind == "A":
+        return head + b"A" + value.encode("latin-1")
+    if kind == "i":
+        return head + (b"i" + struct.pack("<i", int(value)) if int(value) < 1 << 31 else b"I" + struct.pack("<I", int(value)))
+    if kind == "f":
+        return head + b"f" + struct.pack("<f", float(value))
+    if kind == "B":
+        sub, *items = value.split(",")
+        form = "f" if sub == "f" else _NUMBER[sub]
+        return head + b"B" + sub.encode() + struct.pack(f"<i{len(items)}{form}", len(items), *[float(x) if sub == "f" else int(x) for x in items])
+    return head + kind.encode() + value.encode("latin-1") + b"\0"
+
+
+def _bin_of(start: int, end: int) -> int:
+    """The least bin of the binning scheme that holds [start, end)."""
+    end -= 1
+    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+        if start >> shift == end >> shift:
+            return first + (start >> shift)
+    return 0
+
+
+def packed_read(line: str, number: dict[str, int]) -> bytes:
+    """The binary record of an alignment line. number: the place of each sequence in the header."""
+    qname, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, *tags = line.split("\t")
+    ops = [(int(n), BAM_OPERATIONS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    span = sum(n for n, o in ops if BAM_OPERATIONS[o] in "MDN=X") or 1
+    start, ref = int(pos) - 1, number.get(rname, -1)
+    bases = "" if seq == "*" else seq.upper()
+    codes = [max(0, BAM_BASES.find(b)) if b in BAM_BASES else 15 for b in bases] + [0] * (len(bases) % 2)
+    body = struct.pack("<iiBBHHHiiii", ref, start, len(qname) + 1, int(mapq), _bin_of(max(start, 0), max(start, 0) + span), len(ops), int(flag), len(bases), ref if rnext == "=" else number.get(rnext, -1), int(pnext) - 1, int(tlen))
+    body += qname.encode("latin-1") + b"\0" + b"".join(struct.pack("<I", n << 4 | o) for n, o in ops)
+    body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+    body += b"\xff" * len(bases) if qual == "*" else bytes(ord(q) - 33 for q in qual)
+    body += b"".join(map(_packed_tag, tags))
+    return struct.pack("<i", len(body)) + body
+
+
+def write_bam(path: str, header: list[str], lines: Iterable[str]) -> None:
+    """Writes header and alignment lines as a BAM file, block by block."""
+    sequences = [dict(p.split(":", 1) for p in x.split("\t")[1:]) for x in header if x.startswith("@SQ")]
+    text = "".join(x + "\n" for x in header).encode()
+    held = BAM_MAGIC.encode("latin-1") + struct.pack("<i", len(text)) + text + struct.pack("<i", len(sequences))
+    for s in sequences:
+        held += struct.pack("<i", len(s["SN"]) + 1) + s["SN"].encode() + b"\0" + struct.pack("<i", int(s["LN"]))
+    number = {s["SN"]: i for i, s in enumerate(sequences)}
+    with open(path, "wb") as f:
+        for line in lines:
+            held += packed_read(line, number)
+            while len(held) >= 60_000:
+                f.write(_bgzf(held[:60_000]))
+                held = held[60_000:]
+        while held:
+            f.write(_bgzf(held[:60_000]))
+            held = held[60_000:]
+        f.write(_bgzf(b""))
+
+
 class BigWig:
     """Reads a BigWig file: its chromosomes through the name tree, their intervals through the R-tree."""
 

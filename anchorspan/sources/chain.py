@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from anchorspan.functions.chrom import trimmed
 from anchorspan.functions.numbers import unsigned
+from anchorspan.session import ship
 
 HEADER_FIELDS = ["score", "source_name", "source_size", "source_strand", "source_start", "source_end", "target_name", "target_size", "target_strand", "target_start", "target_end"]
 _NUMBERS = ["score", "source_size", "source_start", "source_end", "target_size", "target_start", "target_end"]
@@ -50,6 +51,7 @@ def decompressed(path: str, data: bytes) -> bytes:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) of one or more chain files, compressed or not, whatever their names."""
+    ship(spark)
 
     @F.pandas_udf("array<string>")
     def lines(paths: pd.Series, contents: pd.Series) -> pd.Series:
