@@ -24,6 +24,8 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 
+from anchorspan.session import ship
+
 #: Fixed value: the pattern that parts a text into the pieces within which pairs are merged.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for texts of ASCII characters alone, where it is quicker to find.
@@ -230,6 +232,7 @@ def encode_corpus(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
 
     Row by row, without a shuffle; the scan reads the two columns alone.
     """
+    ship(docs.sparkSession)
     with open(path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -25,6 +25,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from anchorspan.session import ship
+
 #: Items sent to the workers at once; more are done in several passes.
 BLOCK_ITEMS = 20_000
 #: Characters of text that a worker works on at once.
@@ -193,6 +195,7 @@ def find_leaks(
 
     distance is the least of all windows, word_no the place (from 0) of a matching piece of that window in the document.
     """
+    ship(docs.sparkSession)
     items = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).alias("passage")).dropna().distinct()
     blocks = max(1, -(-items.count() // block_items))
     kind = docs.schema[id_column].dataType.simpleString()

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorspan.llm.boosting import BoostedTrees
+from anchorspan.session import ship
 
 KINDS = ["prose", "list", "table", "junk"]
 #: Rows of the training sample, the longest text in it (in characters), and texts put together from two of its rows.
@@ -348,6 +349,7 @@ def fit_model(docs: DataFrame, common: frozenset[str], holdout: Iterable[tuple[s
 
 def classify(docs: DataFrame, common: frozenset[str], model: BoostedTrees, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, text_kind, probability) of every document with a non-blank text. Row by row, without a shuffle."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((model, common)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
