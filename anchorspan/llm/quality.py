@@ -48,7 +48,8 @@ WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 GAPS = re.compile(r"(?<=\S)[  ]{2,}(?=\S)|\t+")
 CELL_SIGN = re.compile(r"[|\t;,^~/:#=!@&§¦·_]")
 THOUSANDS = re.compile(r"(?<![\w,.])\d{1,3}(?:,\d{3})+(?!\d|,\d)")
-OTHER_SIGN = re.compile(r"[|<{~^\ufffdÃâ]|\S   +\S")
+OTHER_SIGN = re.compile(r"[|<{~^\ufffdÃâ]")
+WORD_ASCII = re.compile(r"[a-z0-9]+(?:'[a-z0-9]+)*")
 ODD_INSIDE = re.compile(r"[^\W\d_][!;|:#~^$%&*=<>?@{}\[\]\\]+[^\W_]|^[!;|:#~^$%&*=?@{}\\]+[^\W_]|[^\W_][!|#~^$%&*=@{}\\]+$")
 VOWEL = re.compile(r"[aeiouyáéíóúàèìòùâêîôûäëïöüåæøœãõаеёиоуыэюя]", re.I)
 _LATIN = [chr(i) for i in range(256)]
@@ -121,7 +122,8 @@ class Lines:
         self.common = common
         self.lines = [x for x in text.replace("\r", "\n").split("\n") if x.strip()]
         self.visible = [len("".join(x.split())) for x in self.lines]
-        self.words = [WORD.findall(x.lower()) for x in self.lines]
+        find = (WORD_ASCII if text.isascii() else WORD).findall
+        self.words = [find(x.lower()) for x in self.lines]
         self.bullets = [BULLET.match(x) for x in self.lines]
         self.blobs = self.odd = 0
         first = [self._alone(i) for i in range(len(self.lines))]
@@ -133,7 +135,7 @@ class Lines:
         count = len(words)
         return (
             count >= 9 and len(line) > 50 and common >= 0.15 * count and letters > 0.75 * visible and 3 * (line.count(",") + line.count(";") + line.count("/")) < count and len(set(words)) > 0.35 * min(count, 60)
-            and "\t" not in line and not OTHER_SIGN.search(line)
+            and "\t" not in line and "   " not in line.strip() and not OTHER_SIGN.search(line)
         )
 
     def _repeats(self, i: int) -> bool:
@@ -278,14 +280,14 @@ def features(text: str | None, common: frozenset[str]) -> list[float]:
     alphas = max(1, letters - digits)
     sizes = [len(x) for x in got.lines]
     mean = sum(sizes) / len(sizes)
-    ends = sum(x.rstrip().endswith((".", "!", "?", "…", ":", ";", ",")) for x in got.lines)
+    ends = len([1 for x in got.lines if x.rstrip()[-1] in ".!?…:;,"])
     prose = parts[PROSE]
-    sentences = sum(text.count(s) for s in (". ", "! ", "? ", "… ", ".\n"))
+    sentences = text.count(". ") + text.count("! ") + text.count("? ") + text.count("… ") + text.count(".\n")
     return [
         *parts, parts[ITEM] + parts[BARE] - prose, parts[ROW] - prose, parts[JUNK] - prose, math.log1p(n), letters / n if n else 0.0, (total - letters) / total, digits / total,
         ends / len(sizes), sum(map(common.__contains__, words)) / n if n else 0.0, len(set(words)) / n if n else 0.0,
-        math.log1p(len(sizes)), math.log1p(mean), math.sqrt(sum((x - mean) ** 2 for x in sizes) / len(sizes)) / mean, int(signs[_UPPER].sum()) / alphas, int(signs[_VOWELS].sum()) / alphas,
-        sum(1 for x in got.words if not x) / len(sizes), math.log1p(max(map(len, words), default=0)), got.odd / total, 1 - len(set(zip(words, words[1:], strict=False))) / n if n else 0.0, sum(1 for x in got.bullets if x) / len(sizes),
+        math.log1p(len(sizes)), math.log1p(mean), math.sqrt(sum([(x - mean) ** 2 for x in sizes]) / len(sizes)) / mean, int(signs[_UPPER].sum()) / alphas, int(signs[_VOWELS].sum()) / alphas,
+        got.words.count([]) / len(sizes), math.log1p(max(map(len, words), default=0)), got.odd / total, 1 - len(set(zip(words, words[1:], strict=False))) / n if n else 0.0, (len(sizes) - got.bullets.count(None)) / len(sizes),
         text.count("\t") / len(text), text.count("|") / len(text), got.blobs / total, math.log1p(n / (sentences + 1)),
     ]
 
