@@ -46,7 +46,7 @@ def hot_keys(counts: DataFrame, table_keys: Sequence[str], share: float) -> Data
     whose size is the number of tables, never a window over all keys.
     """
     totals = counts.groupBy(*table_keys).agg(F.sum("n_rows").alias("table_rows"))
-    return counts.join(totals, list(table_keys)).where(F.col("n_rows") >= F.col("table_rows") * F.lit(share))
+    return counts.join(totals, list(table_keys)).where(F.col("n_rows") / F.col("table_rows") >= F.lit(share))
 
 
 def percentiles(compressed: DataFrame, keys: Sequence[str], ps: Sequence[float], levels: int = 3) -> DataFrame:

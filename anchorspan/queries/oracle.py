@@ -15,7 +15,7 @@ PROBLEMS = {
 WITH r AS (SELECT 'bed_records' AS record_table, {chrom_key_sql("chrom")} AS chrom_key FROM bed_records
 UNION ALL SELECT 'vcf_records', {chrom_key_sql("chrom")} FROM vcf_records),
 c AS (SELECT record_table, chrom_key, count(*) AS n FROM r WHERE chrom_key IS NOT NULL GROUP BY 1, 2)
-SELECT record_table, chrom_key FROM (SELECT *, sum(n) OVER (PARTITION BY record_table) AS t FROM c) WHERE n >= 0.05 * t
+SELECT record_table, chrom_key FROM (SELECT *, sum(n) OVER (PARTITION BY record_table) AS t FROM c) WHERE n * 20 >= t
 """,
     "p1_chrom_stats": f"""
 WITH r AS (SELECT 'bed_records' AS record_table, {chrom_key_sql("chrom")} AS chrom_key, chrom_end - chrom_start AS v FROM bed_records
@@ -57,6 +57,84 @@ SELECT track_id, k AS chrom_key, run_start, max(reach) AS run_end, count(*) AS n
 }
 
 
+def _bare(f: str) -> str:
+    """SQL of a field's value without one pair of quotes around all of it."""
+    return f"CASE WHEN length({f}) >= 2 AND {f}[1] = '\"' AND {f}[-1] = '\"' THEN substr({f}, 2, length({f}) - 2) ELSE {f} END"
+
+
+def _bad_number(v: str) -> str:
+    return f"(NOT regexp_full_match({v}, '\\+?[0-9]+') OR coalesce(TRY_CAST(ltrim({v}, '+') AS HUGEINT) > 9223372036854775807, true))"
+
+
+def _fields(line: str) -> str:
+    """SQL of the fields of a line: tabs within quotes shielded, a final tab opening no field."""
+    shielded = f"array_to_string(list_transform(string_split({line}, '\"'), lambda p, i: CASE WHEN i % 2 = 0 THEN replace(p, chr(9), chr(2)) ELSE p END), '\"')"
+    return f"string_split(regexp_replace({shielded}, '\\t$', ''), chr(9))"
+
+
+_MAF = {"chrom": "Chromosome", "start": "Start_Position", "end": "End_Position", "strand": "Strand", "allele": "Reference_Allele"}
+_AT = {"chrom": (1, 1), "start": (2, 2), "end": (3, "NULL"), "strand": (6, "NULL"), "allele": ("NULL", 4)}
+_VALUES = ", ".join(f"{_bare(f'f[{k}_at]')} AS v_{k}" for k in _MAF)
+P3 = f"""
+WITH l AS (SELECT DISTINCT line_id, file_kind, file_name, line_no, raw_line AS raw, regexp_replace(raw_line, '\\r$', '') AS line FROM raw_lines WHERE raw_line IS NOT NULL AND file_kind IN ('bed', 'vcf', 'maf')),
+hv AS (SELECT file_name, {_fields("line")} AS h, line_no AS head_no FROM l WHERE file_kind = 'vcf' AND starts_with(raw, '#CHROM') QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY line_no) = 1),
+hm AS (SELECT file_name, {_fields("line")} AS h, line_no AS head_no FROM l WHERE file_kind = 'maf' AND NOT starts_with(raw, '#') QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY line_no) = 1),
+d AS (SELECT l.*, {_fields("line")} AS f, CASE file_kind WHEN 'bed' THEN 3 WHEN 'vcf' THEN coalesce(len(hv.h), 8) ELSE len(hm.h) END AS least, CASE file_kind WHEN 'bed' THEN 12 WHEN 'vcf' THEN coalesce(len(hv.h), 2000000000) ELSE len(hm.h) END AS most,
+{", ".join(f"CASE file_kind WHEN 'bed' THEN {b if k != 'allele' else 'NULL'} WHEN 'vcf' THEN {v} ELSE list_position(list_transform(hm.h, lambda x: {_bare('x')}), '{n}') END AS {k}_at" for (k, n), (b, v) in zip(_MAF.items(), _AT.values(), strict=True))}
+FROM l LEFT JOIN hv ON file_kind = 'vcf' AND l.file_name = hv.file_name LEFT JOIN hm ON file_kind = 'maf' AND l.file_name = hm.file_name
+WHERE NOT starts_with(raw, '#') AND NOT (file_kind = 'bed' AND (starts_with(raw, 'track') OR starts_with(raw, 'browser'))) AND NOT (file_kind = 'maf' AND l.line_no = hm.head_no)),
+v AS (SELECT *, {_VALUES} FROM d),
+c AS (SELECT line_id, CASE WHEN regexp_full_match(line, '\\s*') THEN 'empty_line'
+WHEN (length(line) - length(replace(line, '"', ''))) % 2 = 1 THEN 'broken_quoting'
+WHEN len(f) < least OR len(f) > most THEN 'wrong_field_count'
+WHEN NOT regexp_full_match(v_chrom, '[A-Za-z0-9_.\\-]+') THEN 'invalid_chrom'
+WHEN {_bad_number("v_start")} OR (v_end IS NOT NULL AND {_bad_number("v_end")}) THEN 'invalid_number'
+WHEN file_kind <> 'vcf' AND CAST(ltrim(v_start, '+') AS HUGEINT) > CAST(ltrim(v_end, '+') AS HUGEINT) THEN 'invalid_range'
+WHEN v_strand IS NOT NULL AND NOT (v_strand IN ('+', '-') OR (v_strand = '.' AND file_kind = 'bed')) THEN 'invalid_strand'
+WHEN v_allele IS NOT NULL AND NOT (regexp_full_match(v_allele, '[ACGTRYSWKMBVDHNacgtryswkmbvdhn]+') OR (v_allele = '-' AND file_kind = 'maf')) THEN 'invalid_allele' END AS fault FROM v)
+SELECT line_id, fault FROM c WHERE fault IS NOT NULL
+"""
+
+
+def _packed(name: str, key: str, field: str, pairs: bool) -> str:
+    """SQL of the rows of one packed field with two values or more."""
+    trim = lambda c: f"trim({c}, ' ' || chr(9) || chr(10) || chr(13))"
+    whole = f"CASE WHEN regexp_full_match({trim('t')}, '\"(?:[^\"]|\"\")*\"') THEN replace(substr({trim('t')}, 2, length({trim('t')}) - 2), '\"\"', '\"') ELSE {trim('t')} END"
+    plain = "regexp_replace(x, '[,;/|\\s]+', chr(1), 'g')"
+    if pairs:
+        named = "regexp_replace(regexp_replace(x, '[;|]', chr(1), 'g'), ',(\\s*[\\pL\\pN_]+=)', chr(1) || '\\1', 'g')"
+        plain = f"CASE WHEN starts_with(coalesce(s[i + 1], ''), '\"') THEN regexp_replace({named}, ',(\\s*[\\pL\\pN_]+\\s+)$', chr(1) || '\\1') ELSE {named} END"
+    marked = f"array_to_string(list_transform(s, lambda x, i: CASE WHEN starts_with(x, '\"') THEN x ELSE {plain} END), '')"
+    unquote = lambda c: f"CASE WHEN length({c}) >= 2 AND {c}[1] = '\"' AND {c}[-1] = '\"' THEN replace(substr({c}, 2, length({c}) - 2), '\"\"', '\"') ELSE {c} END"
+    equals, spaced = "regexp_matches(p, '^[^\"=]*=')", "regexp_full_match(p, '\\S+\\s+\"(?:[^\"]|\"\")*\"')"
+    first = "instr(p, '=')"
+    if pairs:
+        key_sql = f"CASE WHEN {equals} THEN {trim(f'substr(p, 1, {first} - 1)')} WHEN {spaced} THEN regexp_extract(p, '^\\S+') ELSE p END"
+        value = f"CASE WHEN {equals} THEN {trim(f'substr(p, {first} + 1)')} WHEN {spaced} THEN regexp_extract(p, '^\\S+\\s+(.*)$', 1) ELSE '' END"
+    else:
+        key_sql, value = "''", "p"
+    return f"""SELECT '{field}' AS field_name, id AS record_id, CAST(n AS INTEGER) AS item_no, {key_sql} AS item_key, {unquote("v")} AS item_value FROM (
+SELECT *, {value} AS v FROM (SELECT id, ps[n] AS p, n FROM (SELECT id, ps, unnest(range(1, len(ps) + 1)) AS n FROM (
+SELECT id, list_filter(list_transform(string_split({marked}, chr(1)), lambda x: {trim("x")}), lambda x: x <> '') AS ps FROM (
+SELECT id, regexp_extract_all(w, '\"(?:[^\"]|\"\")*(?:\"|$)|[^\"]+') AS s FROM (SELECT DISTINCT {key} AS id, {whole} AS w FROM (SELECT {key}, {field} AS t FROM {name} WHERE {field} IS NOT NULL)) WHERE {trim("w")} <> '.'))
+WHERE len(ps) > 1)))"""
+
+
+_BOTH = PROBLEMS["p5_found"].partition("SELECT k AS lift_key")[0]
+PROBLEMS["p5_values"] = f"""{_BOTH}
+SELECT k AS lift_key, 'missing_in_test' AS diff_kind, NULL::VARCHAR AS ref_value, NULL::VARCHAR AS test_value FROM a ANTI JOIN b USING (k)
+UNION ALL SELECT k, 'missing_in_ref', NULL, NULL FROM b ANTI JOIN a USING (k)
+UNION ALL SELECT a.k, 'chrom', a.c, b.c FROM a JOIN b USING (k) WHERE a.c IS DISTINCT FROM b.c
+UNION ALL SELECT a.k, 'chrom_start', CAST(a.s AS VARCHAR), CAST(b.s AS VARCHAR) FROM a JOIN b USING (k) WHERE (a.s IS NULL) <> (b.s IS NULL) OR abs(a.s - b.s) >= 2
+UNION ALL SELECT a.k, 'chrom_end', CAST(a.e AS VARCHAR), CAST(b.e AS VARCHAR) FROM a JOIN b USING (k) WHERE (a.e IS NULL) <> (b.e IS NULL) OR abs(a.e - b.e) >= 2
+UNION ALL SELECT a.k, 'strand', a.d, b.d FROM a JOIN b USING (k) WHERE a.d IS DISTINCT FROM b.d
+"""
+PROBLEMS["p3_found"] = P3
+PROBLEMS["p4_found"] = "\nUNION ALL\n".join(
+    _packed(*x) for x in (("vcf_records", "vcf_id", "info", True), ("vcf_records", "vcf_id", "alt_alleles", False), ("bed_records", "bed_id", "block_sizes", False), ("gff_records", "gff_id", "gff_attributes", True))
+)
+
+
 def all_sql() -> dict[str, str]:
     from anchorspan.queries import domain_sql
 

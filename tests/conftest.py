@@ -11,6 +11,7 @@ from anchorspan.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     # Tables of a few rows: compiling their plans would take most of the time.
-    session = local_session(4, 2, **{"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
+    quick = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false", "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1 -XX:+UseSerialGC"}
+    session = local_session(4, 2, **quick)
     yield session
     session.stop()

@@ -33,6 +33,8 @@ def test_key_counts_percentiles_and_hot_keys(spark):
         assert (r.mode, r.mode_freq) == (top[1], None if top[0] is None else -top[0])
         for p in (0.0, 0.25, 0.5, 1.0):
             assert at.get((*key, p)) == (real[max(1, math.ceil(p * len(real))) - 1] if real else None)
+    exact = spark.createDataFrame([("t", str(k), 7 if k == 0 else 1) for k in range(134)], "tab string, key string, n_rows long")
+    assert [r.key for r in keystats.hot_keys(exact, ["tab"], 0.05).collect()] == ["0"]  # 7 of 140
     hot = keystats.hot_keys(keystats.key_counts(compressed, ["tab", "key"]), ["tab"], 0.05).collect()
     assert {(r.tab, r.key) for r in hot} == {("t", "hot"), ("u", "only_null")}
 
