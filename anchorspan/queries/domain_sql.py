@@ -210,7 +210,7 @@ WHEN i = {MAF_INDEX.format(n="End_Position")} THEN CAST(t_end AS VARCHAR) WHEN i
     "lift_wig": f"""WITH pt AS (SELECT * FROM {POINTS}), {segments("SELECT point_id AS rid, chrom AS q_chrom, point_start AS q_start, point_end AS q_end, '+' AS q_strand FROM pt").strip()},
 m AS (SELECT rid, max(n) AS n FROM s GROUP BY 1), f AS (SELECT * FROM s WHERE n = 1)
 SELECT point_id, CASE WHEN m.n IS NULL THEN 'unmapped' WHEN m.n > 1 THEN 'multiple' ELSE 'ok' END AS status, t_chrom, t_start, t_end FROM pt LEFT JOIN m ON point_id = m.rid LEFT JOIN f ON point_id = f.rid""",
-    "wig_merge": f"""WITH pt AS (SELECT point_id, concat_ws('|', track_id, {chrom_key_sql("chrom")}) AS c, point_start AS s, point_end AS e, floor(point_value * 2) / 2 + 0.0 AS v FROM {POINTS} WHERE NOT isnan(point_value)),
+    "wig_merge": f"""WITH pt AS (SELECT point_id, concat_ws('|', track_id, {chrom_key_sql("chrom")}) AS c, point_start AS s, point_end AS e, floor(point_value * 2) / 2 + 0.0 AS v FROM {POINTS} WHERE CAST(point_value AS VARCHAR) <> 'nan'),
 a AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS nv FROM pt WINDOW w AS (PARTITION BY c ORDER BY s, point_id)),
 b AS (SELECT *, sum(nv) OVER (PARTITION BY c ORDER BY s, point_id) AS g FROM a),
 d AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY c, g ORDER BY s, point_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS gap FROM b),

@@ -44,7 +44,7 @@ UNION ALL SELECT a.k, 'chrom_end' FROM a JOIN b USING (k) WHERE (a.e IS NULL) <>
 UNION ALL SELECT a.k, 'strand' FROM a JOIN b USING (k) WHERE a.d IS DISTINCT FROM b.d
 """,
     "p2_found": f"""
-WITH RECURSIVE p AS (SELECT DISTINCT ON (point_id) point_id, track_id, {chrom_key_sql("chrom")} AS k, point_start AS s, point_end AS e, CASE WHEN isnan(point_value) THEN NULL ELSE point_value END AS v FROM wig_points WHERE chrom IS NOT NULL ORDER BY point_id, loaded_at),
+WITH RECURSIVE p AS (SELECT DISTINCT ON (point_id) point_id, track_id, {chrom_key_sql("chrom")} AS k, point_start AS s, point_end AS e, CASE WHEN CAST(point_value AS VARCHAR) = 'nan' THEN NULL ELSE point_value END AS v FROM wig_points WHERE chrom IS NOT NULL ORDER BY point_id, loaded_at),
 o AS (SELECT *, row_number() OVER (PARTITION BY track_id, k ORDER BY s) AS i FROM p),
 f AS (SELECT track_id, k, i, s AS run_start, s AS first_s, e AS reach, v AS head, v FROM o WHERE i = 1
 UNION ALL SELECT o.track_id, o.k, o.i,

@@ -36,8 +36,17 @@ def test_bed(spark, plus):
 
 
 @pytest.mark.parametrize("max_sent", [500_000, 0])
-def test_bed12(spark, max_sent):
-    plus, minus = (Lifter(chain.load(chain.lines_of(spark, t)).blocks, max_sent=max_sent) for t in (PLUS, MINUS))
+def test_span_segments_in_both_forms(spark, max_sent):
+    lifter = Lifter(chain.load(chain.lines_of(spark, PLUS)).blocks, max_sent=max_sent)
+    rows = [(1, "chr1", [(110, 120), (210, 220), (190, 260)], "+"), (2, "chr1", None, "-"), (3, "zz", [(1, 2)], "+"), (4, "chr1", [], "+"), (5, "1", [(150, 160)], "-")]
+    df = spark.createDataFrame(rows, "rid long, chrom string, spans array<struct<s:long,e:long>>, strand string")
+    got = lifter.with_span_segments(df, "rid", F.col("chrom"), F.col("spans"), F.col("strand"), "parts").orderBy("rid").collect()
+    shown = [r.parts and [x and [(g.t_chrom, g.t_start, g.t_end, g.t_strand) for g in x] for x in r.parts] for r in got]
+    want = [[[("chr1", 110, 120, "+")], [], [("chr1", 190, 200, "+"), ("chr1", 250, 260, "+")]], None, [None], None, [[("1", 150, 160, "-")]]]
+    assert [x or None for x in shown] == want
+
+
+def test_bed12(spark, plus, minus):
     texts = [
         "chr1 110 340 g 5 + 120 330 0 2 20,30, 0,200, more", "chr1 110 340 g 5 + 120 330 0 2 20,30 0,95", "chr1 110 340 g 5 + 120 330 0 2 x 0,200", "chr1 110 190 g 5 + a b 0 1 80 0",
     ]
