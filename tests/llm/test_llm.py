@@ -1,3 +1,4 @@
+import functools
 import itertools
 import os
 import random
@@ -17,11 +18,16 @@ ODD = ["", None, "a", " ", "\n\n x ", "<|endoftext|> hi", "\x1c\x85\xa0 c", "é
 ALPHABET = "ab1 \n\t.,'é漢　\x1c"
 
 
+@functools.cache
+def loaded():
+    return bpe.Vocabulary.from_file(FILE)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     if not os.path.exists(FILE):
         pytest.skip("no vocabulary file")
-    return bpe.Vocabulary.from_file(FILE)
+    return loaded()
 
 
 def parted(ids, counts):
@@ -39,12 +45,11 @@ def naive(piece: bytes, vocabulary: bpe.Vocabulary) -> list[int]:
         ids[i : i + 2] = [rank]
 
 
+@here
 @given(st.binary(min_size=1, max_size=80))
 @settings(max_examples=150, deadline=None)
 def test_segment_tree_merges_like_the_naive_way(piece):
-    if not os.path.exists(FILE):
-        return
-    vocabulary = test_segment_tree_merges_like_the_naive_way.__dict__.setdefault("v", bpe.Vocabulary.from_file(FILE))
+    vocabulary = loaded()
     want = naive(piece, vocabulary)
     assert bpe.encode_piece(piece, vocabulary) == want
     if 2 <= len(piece) <= 64:
