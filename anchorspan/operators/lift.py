@@ -17,12 +17,12 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorspan.functions import chrom as names
 from anchorspan.operators.intervals import BIN, interval_join
-from anchorspan.session import broadcast_if_small, fits, ship
+from anchorspan.session import broadcast_if_small, ship
 
 #: Blocks that are sent to every worker at most (about 60 bytes each).
 MAX_SENT = 500_000
@@ -69,7 +69,8 @@ class BlockIndex:
     """Blocks as sorted arrays, per chromosome. Picklable; lives once in a worker."""
 
     def __init__(self, rows: pa.Table):
-        order = rows.sort_by([("source_chrom", "ascending"), ("source_start", "ascending"), ("source_end", "ascending"), ("block_id", "ascending")])
+        rows = rows.flatten()  # a block_id of several parts becomes several columns
+        order = rows.sort_by([(c, "ascending") for c in ["source_chrom", "source_start", "source_end", *[c for c in rows.column_names if c.split(".")[0] == "block_id"]]])
         number = lambda c: order.column(c).to_numpy()
         self.start, self.end, self.t_start, self.t_end = (number(c) for c in ("source_start", "source_end", "target_start", "target_end"))
         self.minus = np.array(order.column("target_strand").to_pylist(), dtype=object) == "-"
@@ -142,8 +143,9 @@ class Lifter:
         self.spark: SparkSession = blocks.sparkSession
         self.sent = None
         ship(self.spark)
-        if fits(blocks, max_sent):
-            self.index = BlockIndex(blocks.withColumn("block_id", F.row_number().over(Window.orderBy("block_id"))).toArrow())
+        rows = blocks.limit(max(0, max_sent) + 1).toArrow()  # counted and taken in one job
+        if rows.num_rows <= max_sent:
+            self.index = BlockIndex(rows)
             self.sent = self.spark.sparkContext.broadcast(self.index)
 
     def segments(self, chrom: Column, start: Column, end: Column, strand: Column) -> Column:
