@@ -318,15 +318,22 @@ def lift_vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("at").alias("vcf_id"), "status", *[F.when(ok, F.col(c)).alias(c) for c in ("t_chrom", "new_pos", "new_ref", "new_alt", "new_info")])
 
 
-#: The made-up reference repeats this; its sequences are as long as the chain says, but at most REFERENCE_BASES.
+#: The made-up reference repeats this. REFERENCE_BASES is where the SQL cuts its sequences; the queries don't cut them.
 REFERENCE, REFERENCE_BASES = "ACGTTGCAGTCA", 1 << 22
 
 
-def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A made-up reference as chunks: base p of every sequence is letter p modulo 12 of REFERENCE."""
-    sizes = chain_sizes(spark, sf_dir).where("side = 'target'").select(F.col("chrom").alias("name"), F.least("size", F.lit(REFERENCE_BASES)).alias("size"))
-    rows = sizes.select("name", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / fasta.CHUNK))).alias("chunk_no"))
+def reference(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    """A made-up reference as chunks: base p of every sequence is letter p modulo 12 of REFERENCE; sequences are as long as the chain says.
+
+    Of its chunks only those are made that asked (name, start, end) reaches under a name or its other form, and the
+    first of every sequence, by which its name is known.
+    """
+    sizes = chain_sizes(spark, sf_dir).where("side = 'target'").select(F.col("chrom").alias("name"), "size")
+    spans = asked.where("start >= 0 and end > start").select(F.explode(F.array(F.col("name"), fasta.other_name(F.col("name")))).alias("name"), "start", "end")
+    reached = spans.select("name", F.explode(F.sequence(F.floor(F.col("start") / fasta.CHUNK), F.floor((F.col("end") - 1) / fasta.CHUNK))).alias("chunk_no"))
+    numbers = reached.unionByName(sizes.select("name", F.lit(0).cast("bigint").alias("chunk_no"))).distinct()
     first = F.col("chunk_no") * fasta.CHUNK
+    rows = numbers.join(sizes, "name").where(first < F.col("size"))
     length = (F.least(first + fasta.CHUNK, F.col("size")) - first).cast("int")
     letters = F.repeat(F.lit(REFERENCE), F.lit(fasta.CHUNK // len(REFERENCE) + 2))
     return rows.select("name", "chunk_no", F.substring(letters, (first % len(REFERENCE)).cast("int") + 1, length).alias("seq"))
@@ -335,7 +342,9 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def lift_vcf_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VCF records converted with a reference: its base becomes REF; places beyond it fail."""
-    out = vcf_plan.convert(vcf_lines(spark, sf_dir), lifter(spark, sf_dir), reference(spark, sf_dir))
+    lines, to_target = vcf_lines(spark, sf_dir), lifter(spark, sf_dir)
+    asked = vcf_plan.convert(lines, to_target).where(F.col("t_chrom").isNotNull()).select(F.col("t_chrom").alias("name"), (F.col("new_pos") - 1).alias("start"), F.col("new_pos").alias("end"))
+    out = vcf_plan.convert(lines, to_target, reference(spark, sf_dir, asked))
     ok = F.col("status") == "ok"
     return out.select(F.col("at").alias("vcf_id"), "status", *[F.when(ok, F.col(c)).alias(c) for c in ("t_chrom", "new_pos", "new_ref", "new_alt")])
 
@@ -344,7 +353,7 @@ def lift_vcf_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fasta_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bases of the reference under each GFF feature, by a name with or without prefix; at most 40 bases a feature."""
     gff = newest(table(spark, sf_dir, "gff_records").select("gff_id", "seqname", "feat_start", "feat_end"), "gff_id").select("gff_id", F.col("seqname").alias("q_name"), (F.col("feat_start") - 1).alias("q_from"), F.least("feat_end", F.col("feat_start") + 39).alias("q_to"))
-    return fasta.with_bases(gff, reference(spark, sf_dir), "gff_id", "q_name", "q_from", "q_to", "bases").select("gff_id", "bases")
+    return fasta.with_bases(gff, reference(spark, sf_dir, gff.select(F.col("q_name").alias("name"), F.col("q_from").alias("start"), F.col("q_to").alias("end"))), "gff_id", "q_name", "q_from", "q_to", "bases").select("gff_id", "bases")
 
 
 @query
