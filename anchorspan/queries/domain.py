@@ -351,9 +351,10 @@ def lift_vcf_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fasta_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bases of the reference under each GFF feature, by a name with or without prefix; at most 40 bases a feature."""
-    gff = newest(table(spark, sf_dir, "gff_records").select("gff_id", "seqname", "feat_start", "feat_end"), "gff_id").select("gff_id", F.col("seqname").alias("q_name"), (F.col("feat_start") - 1).alias("q_from"), F.least("feat_end", F.col("feat_start") + 39).alias("q_to"))
-    return fasta.with_bases(gff, reference(spark, sf_dir, gff.select(F.col("q_name").alias("name"), F.col("q_from").alias("start"), F.col("q_to").alias("end"))), "gff_id", "q_name", "q_from", "q_to", "bases").select("gff_id", "bases")
+    """Bases of the reference under each GFF feature, by a name with or without prefix."""
+    gff = newest(table(spark, sf_dir, "gff_records").select("gff_id", "seqname", "feat_start", "feat_end"), "gff_id").select("gff_id", F.col("seqname").alias("q_name"), (F.col("feat_start") - 1).alias("q_from"), F.col("feat_end").alias("q_to"))
+    asked = gff.select(F.col("q_name").alias("name"), F.col("q_from").alias("start"), F.col("q_to").alias("end"))
+    return fasta.with_bases(gff, reference(spark, sf_dir, asked), "gff_id", "q_name", "q_from", "q_to", "bases").select("gff_id", "bases")
 
 
 @query

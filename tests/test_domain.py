@@ -27,3 +27,15 @@ def test_the_reference_is_as_long_as_the_chain_says(spark, tmp_path):
     for key, pos in ((1, 10), (2, 20_000)):
         assert (got[key]["status"], got[key]["new_pos"], got[key]["new_ref"]) == ("ok", start + pos, domain.REFERENCE[(start + pos - 1) % 12])
     assert got[3]["status"] == "Unmap"
+
+
+GFF = "gff_id bigint, seqname string, gff_source string, feature string, feat_start bigint, feat_end bigint, score double, strand string, frame_code string, gff_attributes string"
+
+
+def test_features_are_fetched_whole(spark, tmp_path):
+    size = 5_000_000
+    spans = {1: ("chr1", 101, 300), 2: ("1", 16_300, 40_000), 3: ("chr1", 4_990_001, 5_000_100), 4: ("chr1", 5_000_001, 5_000_100), 5: ("zz", 1, 200)}
+    rows = [(k, n, None, None, a, b, None, "+", None, None) for k, (n, a, b) in spans.items()]
+    got = {r["gff_id"]: r["bases"] for r in domain.fasta_fetch(spark, tables(spark, tmp_path, gff_records=(GFF, rows), **chain(size, 0, 1000))).collect()}
+    want = {k: "".join(domain.REFERENCE[p % 12] for p in range(a - 1, min(b, size))) or None for k, (_, a, b) in spans.items()}
+    assert got == want | {5: None}
