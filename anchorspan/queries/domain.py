@@ -173,7 +173,7 @@ def intersect_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def info_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of INFO by key, flags as empty texts, and END rewritten in both ways."""
     i = F.col("info")
-    rows = newest(table(spark, sf_dir, "vcf_records").select("vcf_id", "info", "pos"), "vcf_id").where(i.isNotNull() & ~F.contains(i, F.lit('"')))
+    rows = newest(table(spark, sf_dir, "vcf_records").select("vcf_id", "info", "pos"), "vcf_id").where(i.isNotNull())
     got = variants.info_map(i)
     return rows.select(
         "vcf_id", F.try_element_at(got, F.lit("DP")).alias("dp"), F.try_element_at(got, F.lit("DB")).alias("db"), variants.info_value(i, "AF").alias("af"), variants.end_position(i).alias("end_position"),

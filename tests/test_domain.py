@@ -39,3 +39,12 @@ def test_features_are_fetched_whole(spark, tmp_path):
     got = {r["gff_id"]: r["bases"] for r in domain.fasta_fetch(spark, tables(spark, tmp_path, gff_records=(GFF, rows), **chain(size, 0, 1000))).collect()}
     want = {k: "".join(domain.REFERENCE[p % 12] for p in range(a - 1, min(b, size))) or None for k, (_, a, b) in spans.items()}
     assert got == want | {5: None}
+
+
+def test_quoted_info_is_looked_up(spark, tmp_path):
+    info = {1: 'DP=43;AF=0.1;NOTE="x|y";END=7', 2: '"DP=38"', 3: "DB;DP=5", 4: None, 5: 'DP=9;NOTE="a; DB"'}
+    got = {r["vcf_id"]: tuple(r)[1:] for r in domain.info_lookup(spark, tables(spark, tmp_path, vcf_records=(VCF, [(k, "chr1", 50, None, "G", "T", None, x) for k, x in info.items()]))).collect()}
+    assert got == {
+        1: ("43", None, "0.1", 7, 'DP=43;AF=0.1;NOTE="x|y";END=50', 'DP=43;AF=0.1;NOTE="x|y";END=50'), 2: (None, None, None, None, '"DP=38"', '"DP=38";END=50'),
+        3: ("5", "", None, None, "DB;DP=5", "DB;DP=5;END=50"), 5: ("9", None, None, None, 'DP=9;NOTE="a; DB"', 'DP=9;NOTE="a; DB";END=50'),
+    }
