@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorspan.functions import chrom as names
-from anchorspan.functions import cigar, dna, variants
+from anchorspan.functions import cigar, dna, numbers, variants
 from anchorspan.operators import lift
 from anchorspan.operators.intervals import intersect, interval_join
 from anchorspan.operators.lift import Lifter
@@ -64,9 +64,10 @@ def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gff_records as GFF lines. A score is its shortest text without a closing .0 (numbers.shortest); null fields become dots."""
     df = table(spark, sf_dir, "gff_records").where(F.col("seqname").isNotNull())
     dotted = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
-    fields = ["seqname", dotted("gff_source"), dotted("feature"), F.col("feat_start").cast("string"), F.col("feat_end").cast("string"), F.lit("."), dotted("strand"), dotted("frame_code"), dotted("gff_attributes")]
+    fields = ["seqname", dotted("gff_source"), dotted("feature"), F.col("feat_start").cast("string"), F.col("feat_end").cast("string"), F.coalesce(numbers.plain_double(F.col("score")), F.lit(".")), dotted("strand"), dotted("frame_code"), dotted("gff_attributes")]
     return df.select(F.col("gff_id").alias("at"), F.concat_ws("\t", *fields).alias("line")).distinct()
 
 
@@ -331,9 +332,9 @@ def reference(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
     sizes = chain_sizes(spark, sf_dir).where("side = 'target'").select(F.col("chrom").alias("name"), "size")
     spans = asked.where("start >= 0 and end > start").select(F.explode(F.array(F.col("name"), fasta.other_name(F.col("name")))).alias("name"), "start", "end")
     reached = spans.select("name", F.explode(F.sequence(F.floor(F.col("start") / fasta.CHUNK), F.floor((F.col("end") - 1) / fasta.CHUNK))).alias("chunk_no"))
-    numbers = reached.unionByName(sizes.select("name", F.lit(0).cast("bigint").alias("chunk_no"))).distinct()
+    chunk_nos = reached.unionByName(sizes.select("name", F.lit(0).cast("bigint").alias("chunk_no"))).distinct()
     first = F.col("chunk_no") * fasta.CHUNK
-    rows = numbers.join(sizes, "name").where(first < F.col("size"))
+    rows = chunk_nos.join(sizes, "name").where(first < F.col("size"))
     length = (F.least(first + fasta.CHUNK, F.col("size")) - first).cast("int")
     letters = F.repeat(F.lit(REFERENCE), F.lit(fasta.CHUNK // len(REFERENCE) + 2))
     return rows.select("name", "chunk_no", F.substring(letters, (first % len(REFERENCE)).cast("int") + 1, length).alias("seq"))

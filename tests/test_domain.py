@@ -48,3 +48,10 @@ def test_quoted_info_is_looked_up(spark, tmp_path):
         1: ("43", None, "0.1", 7, 'DP=43;AF=0.1;NOTE="x|y";END=50', 'DP=43;AF=0.1;NOTE="x|y";END=50'), 2: (None, None, None, None, '"DP=38"', '"DP=38";END=50'),
         3: ("5", "", None, None, "DB;DP=5", "DB;DP=5;END=50"), 5: ("9", None, None, None, 'DP=9;NOTE="a; DB"', 'DP=9;NOTE="a; DB";END=50'),
     }
+
+
+def test_gff_keeps_its_score(spark, tmp_path):
+    scores = {1: 0.533, 2: None, 3: 1.0, 4: 1e-7, 5: 12345678.25, 6: float("nan")}
+    rows = [(k, "chr1", "src", "exon", 11, 20, x, "+", "0", "ID=a") for k, x in scores.items()]
+    got = {r["gff_id"]: r["out_line"].split("\t")[5] for r in domain.lift_gff(spark, tables(spark, tmp_path, gff_records=(GFF, rows), **chain(5_000, 0, 1000))).collect()}
+    assert got == {1: "0.533", 2: ".", 3: "1", 4: "0.0000001", 5: "12345678.25", 6: "NaN"}
