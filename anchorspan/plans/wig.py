@@ -12,10 +12,10 @@ from anchorspan.plans.common import none_of
 
 
 def convert_points(points: DataFrame, lifter: Lifter, rid: str = "at") -> DataFrame:
-    """points (chrom, start, end, value, ...) with status (ok, unmapped, multiple) and t_chrom, t_start, t_end. A clipped point is kept."""
+    """points (chrom, start, end, value, ...) with status (ok, unmapped, multiple, no_value) and t_chrom, t_start, t_end. A clipped point is kept; one without a value has no place."""
     recs = lifter.with_segments(points, rid, F.col("chrom"), F.col("start"), F.col("end"), F.lit("+"))
-    recs = recs.withColumn("found", F.coalesce("segments", none_of(SEGMENTS))).withColumn("g", F.when(F.size("found") == 1, F.get("found", F.lit(0))))
-    status = F.when(F.size("found") == 0, "unmapped").when(F.size("found") > 1, "multiple").otherwise("ok")
+    recs = recs.withColumn("found", F.coalesce("segments", none_of(SEGMENTS))).withColumn("g", F.when((F.size("found") == 1) & F.col("value").isNotNull(), F.get("found", F.lit(0))))
+    status = F.when(F.col("value").isNull(), "no_value").when(F.size("found") == 0, "unmapped").when(F.size("found") > 1, "multiple").otherwise("ok")
     return recs.withColumns({"status": status, "t_chrom": F.col("g.t_chrom"), "t_start": F.col("g.t_start"), "t_end": F.col("g.t_end")}).drop("segments", "found", "g")
 
 

@@ -47,7 +47,7 @@ def newest(df: DataFrame, key: str) -> DataFrame:
 
 
 def bed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bed_records as BED lines: six columns, or twelve where the block columns are there. Null names, scores and strands become dots."""
+    """bed_records as BED lines: six columns, or twelve where the block columns are there. Null names, scores and strands become dots; records without a chromosome are left out."""
     df = table(spark, sf_dir, "bed_records").where(F.col("chrom").isNotNull())
     dotted = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     six = F.concat_ws("\t", "chrom", F.col("chrom_start").cast("string"), F.col("chrom_end").cast("string"), dotted("bed_name"), dotted("score"), dotted("strand"))
@@ -57,6 +57,7 @@ def bed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vcf_records as VCF lines of eight columns, without QUAL. Null fields become dots; records without a chromosome are left out."""
     df = table(spark, sf_dir, "vcf_records").where(F.col("chrom").isNotNull())
     dotted = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     fields = ["chrom", F.col("pos").cast("string"), *[dotted(c) for c in ("variant_id", "ref_allele", "alt_alleles")], F.lit("."), dotted("filter_status"), dotted("info")]
@@ -64,10 +65,10 @@ def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gff_records as GFF lines. A score is its shortest text without a closing .0 (numbers.shortest); null fields become dots."""
-    df = table(spark, sf_dir, "gff_records").where(F.col("seqname").isNotNull())
+    """gff_records as GFF lines. A score is its shortest text without a closing .0 (numbers.shortest); null fields become dots, which are an unknown chromosome, too."""
+    df = table(spark, sf_dir, "gff_records")
     dotted = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
-    fields = ["seqname", dotted("gff_source"), dotted("feature"), F.col("feat_start").cast("string"), F.col("feat_end").cast("string"), F.coalesce(numbers.plain_double(F.col("score")), F.lit(".")), dotted("strand"), dotted("frame_code"), dotted("gff_attributes")]
+    fields = [dotted("seqname"), dotted("gff_source"), dotted("feature"), F.col("feat_start").cast("string"), F.col("feat_end").cast("string"), F.coalesce(numbers.plain_double(F.col("score")), F.lit(".")), dotted("strand"), dotted("frame_code"), dotted("gff_attributes")]
     return df.select(F.col("gff_id").alias("at"), F.concat_ws("\t", *fields).alias("line")).distinct()
 
 
@@ -277,7 +278,7 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lift_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BED records converted: one row per output line, rejects with their line."""
+    """BED records with a chromosome converted: one row per output line, rejects with their line."""
     out = bed_plan.convert(bed_lines(spark, sf_dir), lifter(spark, sf_dir))
     lines = F.when(F.size("out") > 0, F.col("out")).otherwise(F.array("reject"))
     return out.select(F.col("at").alias("bed_id"), "status", F.posexplode(lines).alias("line_no", "line"))
@@ -313,7 +314,7 @@ def region_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lift_vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VCF records converted without a reference."""
+    """VCF records with a chromosome converted without a reference."""
     out = vcf_plan.convert(vcf_lines(spark, sf_dir), lifter(spark, sf_dir))
     ok = F.col("status") == "ok"
     return out.select(F.col("at").alias("vcf_id"), "status", *[F.when(ok, F.col(c)).alias(c) for c in ("t_chrom", "new_pos", "new_ref", "new_alt", "new_info")])
@@ -383,20 +384,20 @@ def lift_maf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return newest(table(spark, sf_dir, "wig_points").where(F.col("point_value").isNotNull()), "point_id").select(F.col("point_id").alias("at"), "track_id", "chrom", F.col("point_start").alias("start"), F.col("point_end").alias("end"), F.col("point_value").alias("value"))
+    return newest(table(spark, sf_dir, "wig_points"), "point_id").select(F.col("point_id").alias("at"), "track_id", "chrom", F.col("point_start").alias("start"), F.col("point_end").alias("end"), F.col("point_value").alias("value"))
 
 
 @query
 def lift_wig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of the tracks with their outcome and place on the target."""
+    """Points of the tracks with their outcome and place on the target; those without a value come out as no_value."""
     out = wig_plan.convert_points(_points(spark, sf_dir), lifter(spark, sf_dir))
     return out.select(F.col("at").alias("point_id"), "status", "t_chrom", "t_start", "t_end")
 
 
 @query
 def wig_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The points of each track and chromosome, rounded to halves, as merged bedGraph records."""
-    rows = _points(spark, sf_dir).where(~F.isnan("value")).select("at", F.concat_ws("|", "track_id", names.chrom_key(F.col("chrom"))).alias("chrom"), "start", "end", (F.floor(F.col("value") * 2) / 2).alias("value"))
+    """The points of each track and chromosome, rounded to halves, as merged bedGraph records. Points without a value and NaN are left out."""
+    rows = _points(spark, sf_dir).where(F.col("value").isNotNull() & ~F.isnan("value")).select("at", F.concat_ws("|", "track_id", names.chrom_key(F.col("chrom"))).alias("chrom"), "start", "end", (F.floor(F.col("value") * 2) / 2).alias("value"))
     return wig_plan.merge(rows)
 
 

@@ -55,3 +55,12 @@ def test_gff_keeps_its_score(spark, tmp_path):
     rows = [(k, "chr1", "src", "exon", 11, 20, x, "+", "0", "ID=a") for k, x in scores.items()]
     got = {r["gff_id"]: r["out_line"].split("\t")[5] for r in domain.lift_gff(spark, tables(spark, tmp_path, gff_records=(GFF, rows), **chain(5_000, 0, 1000))).collect()}
     assert got == {1: "0.533", 2: ".", 3: "1", 4: "0.0000001", 5: "12345678.25", 6: "NaN"}
+
+
+def test_points_and_features_without_a_value_or_chromosome_stay(spark, tmp_path):
+    points = [(1, "t", "chr1", 10, 20, 0.5, 1), (2, "t", "chr1", 20, 30, None, 1), (3, "t", "chr1", 30, 40, float("nan"), 1), (4, "t", None, 30, 40, 1.0, 1)]
+    wig = "point_id bigint, track_id string, chrom string, point_start bigint, point_end bigint, point_value double, loaded_at bigint"
+    features = [(1, None, None, None, 11, 20, None, "+", None, None), (2, "chr1", None, None, 11, 20, None, "+", None, None)]
+    at = tables(spark, tmp_path, wig_points=(wig, points), gff_records=(GFF, features), **chain(5_000, 0, 1000))
+    assert sorted((r["point_id"], r["status"], r["t_start"]) for r in domain.lift_wig(spark, at).collect()) == [(1, "ok", 10), (2, "no_value", None), (3, "ok", 30), (4, "unmapped", None)]
+    assert sorted((r["gff_id"], r["status"]) for r in domain.lift_gff(spark, at).collect()) == [(1, "unmapped"), (2, "ok")]
