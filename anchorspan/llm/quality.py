@@ -16,7 +16,9 @@ from __future__ import annotations
 import math
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +128,7 @@ class Lines:
         self.words = [find(x.lower()) for x in self.lines]
         self.bullets = [BULLET.match(x) for x in self.lines]
         self.blobs = self.odd = 0
+        self.over = self._over()
         first = [self._alone(i) for i in range(len(self.lines))]
         self.shape = self._among(first)
 
@@ -138,8 +141,26 @@ class Lines:
             and "\t" not in line and "   " not in line.strip() and not OTHER_SIGN.search(line)
         )
 
+    def _over(self) -> set[int]:
+        """The lines of 8 or more words whose pairs of words come four times each, or more: over the whole text, and if it is not made of such lines alone, in a run of them.
+
+        Each pair of a line counts as one by how often the text has it; the sum over a text is its count of distinct pairs.
+        """
+        pairs = [list(zip(ws, ws[1:], strict=False)) for ws in self.words]
+        found = Counter(chain.from_iterable(pairs))
+        total = found.total()
+        if total - len(found) < 3 * 7:  # fewer repeats than the shortest such line has
+            return set()
+        lines = [i for i, ps in enumerate(pairs) if len(ps) >= 7 and sum([1 / found[p] for p in ps]) <= 0.25 * len(ps)]
+        if len(found) <= 0.25 * total:
+            return set(lines)
+        runs = [[i for _, i in run] for _, run in groupby(enumerate(lines), lambda x: x[1] - x[0])]
+        return {i for run in runs if len(set().union(*(pairs[i] for i in run))) <= 0.25 * sum(len(pairs[i]) for i in run) for i in run}
+
     def _repeats(self, i: int) -> bool:
-        """The words of the line, with those of its neighbours if it is short, are the same few over and over."""
+        """The words of the line, with those of its neighbours if it is short, are the same few over and over, or the line is one of _over()."""
+        if i in self.over:
+            return True
         words = list(self.words[i])
         for near in (i - 1, i + 1, i + 2):
             if len(words) < 24 and 0 <= near < len(self.words):
@@ -150,7 +171,7 @@ class Lines:
         line, visible, words = self.lines[i], self.visible[i], self.words[i]
         letters = sum(map(len, words))
         common = sum(map(self.common.__contains__, words))
-        if self._plain(line, words, letters, visible, common):
+        if i not in self.over and self._plain(line, words, letters, visible, common):
             return PROSE
         compact = "".join(line.split())
         if HEXDUMP.match(line) or HEXROW.match(line) and re.search(r"[a-fA-F]", line) or SEQUENCE.match(line):
