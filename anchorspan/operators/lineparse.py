@@ -2,8 +2,10 @@
 
 Delimited lines are cut at tabs outside double quotes by JVM-side expressions, and a line whose field count, quoting
 and field types are all right has cost zero and loads. Only lines with a cost go to the minimum-cost parse: a dynamic
-programme over the quotes and tabs of the line that inserts or deletes quotes and delimiters until the line has a legal
-field count, and places the edits so that as few fields as can be are of a wrong type. Its edits state the reason.
+programme over the tabs of the line that inserts or deletes delimiters until the line has a legal field count, and places
+the edits so that as few fields as can be are of a wrong type; a quote is mended before, one edit tried at a time. Its
+edits state the reason. Where fields times fields off exceed 200,000 the programme isn't run: the edits go to the end, as
+many as at least cost, but fields of a wrong type aren't looked at and don't count in the cost. The fault is the same.
 
 Defined results: a null line or an unknown file kind is no data line; a file without the header that gives its field
 count is checked against the least count of its kind; a column that a header lacks is not checked; copies of a line
@@ -209,7 +211,8 @@ def _fit(text: str, least: int, most: int, roles: dict[int, str], kind: str) ->
 
     Dynamic programme over (given fields used, fields made). Moves: take a field as it is, join it to the next (the tab
     between them deleted), part it at its first blank, or add an empty field (a tab inserted). Only so many rows off the
-    diagonal are filled as the count is off, so a long line costs its length times that.
+    diagonal are filled as the count is off, so a long line costs its length times that. Beyond 200,000 of these no least-cost
+    parse is made: all edits go to the end, and the cost is that of the delimiters alone.
     """
     given = _cut(text)
     n = len(given)
