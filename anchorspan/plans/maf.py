@@ -60,7 +60,7 @@ def convert(rows: DataFrame, lifter: Lifter, build: str, chunks: DataFrame | Non
 
     done = recs.withColumn("status", status)
     ok = F.col("status") == "ok"
-    done = done.withColumns({"out": F.when(ok, F.array(F.array_join(F.transform("fields", changed), "\t"))).otherwise(none_of("array<string>")), "reject": F.when(~ok, F.col("line"))})
+    done = done.withColumns({"out": F.when(ok, F.array(F.array_join(F.transform("fields", changed), "\t"))).otherwise(none_of("array<string>")), "reject": F.when(~ok, F.col("line")), **{c: F.col(f"g.{c}") for c in ("t_chrom", "t_start", "t_end")}})
     return done.drop("found", "g", "segments", "before", "head_block", "head_at", *[f"c_{n}" for n in NEEDED])
 
 

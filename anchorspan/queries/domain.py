@@ -374,12 +374,25 @@ def lift_gff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("at").alias("gff_id"), "status", F.get("out", F.lit(0)).alias("out_line"))
 
 
+def maf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = newest(table(spark, sf_dir, "raw_lines"), "line_id").where("file_kind = 'maf'")
+    return raw.select(F.col("file_name").alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("line_no").alias("at"), "line_id", F.regexp_replace("raw_line", "\r\\z", "").alias("line"))
+
+
 @query
 def lift_maf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The MAF lines of raw_lines converted by the header of their file."""
-    raw = newest(table(spark, sf_dir, "raw_lines"), "line_id").where("file_kind = 'maf'")
-    rows = raw.select(F.col("file_name").alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("line_no").alias("at"), "line_id", F.regexp_replace("raw_line", "\r\\z", "").alias("line"))
-    out = maf_plan.convert(rows, lifter(spark, sf_dir), "new", rid="line_id")
+    """The MAF lines of raw_lines converted by the header of their file, without a reference."""
+    out = maf_plan.convert(maf_lines(spark, sf_dir), lifter(spark, sf_dir), "new", rid="line_id")
+    return out.select("line_id", "status", F.get("out", F.lit(0)).alias("out_line"))
+
+
+@query
+def lift_maf_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a reference: the bases of the mapped range become Reference_Allele, turned on the minus strand."""
+    lines, to_target = maf_lines(spark, sf_dir), lifter(spark, sf_dir)
+    placed = maf_plan.convert(lines, to_target, "new", rid="line_id").where(F.col("t_chrom").isNotNull())
+    asked = placed.select(F.col("t_chrom").alias("name"), F.col("t_start").alias("start"), F.col("t_end").alias("end"))
+    out = maf_plan.convert(lines, to_target, "new", reference(spark, sf_dir, asked), rid="line_id")
     return out.select("line_id", "status", F.get("out", F.lit(0)).alias("out_line"))
 
 

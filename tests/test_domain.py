@@ -64,3 +64,16 @@ def test_points_and_features_without_a_value_or_chromosome_stay(spark, tmp_path)
     at = tables(spark, tmp_path, wig_points=(wig, points), gff_records=(GFF, features), **chain(5_000, 0, 1000))
     assert sorted((r["point_id"], r["status"], r["t_start"]) for r in domain.lift_wig(spark, at).collect()) == [(1, "ok", 10), (2, "no_value", None), (3, "ok", 30), (4, "unmapped", None)]
     assert sorted((r["gff_id"], r["status"]) for r in domain.lift_gff(spark, at).collect()) == [(1, "unmapped"), (2, "ok")]
+
+
+def test_maf_gets_the_bases_of_its_new_place(spark, tmp_path):
+    texts = ["Chromosome Start_Position End_Position Strand Reference_Allele NCBI_Build", "chr1 11 30 + A old", "chr1 4001 4002 + A old"]
+    lines = [(k, "maf", "a.maf", k, x.replace(" ", "\t")) for k, x in enumerate(texts)]
+    made = chain(60_000_000, 0, 1000)
+    made["chain_headers"][1][0] = (1, 1, "chr1", 1000, "+", 0, 1000, "chr1", 60_000_000, "-", 5_000_000, 5_001_000)
+    got = {r["line_id"]: r for r in domain.lift_maf_reference(spark, tables(spark, tmp_path, raw_lines=("line_id bigint, file_kind string, file_name string, line_no bigint, raw_line string", lines), **made)).collect()}
+    end = 60_000_000 - 5_000_010
+    bases = "".join(domain.REFERENCE[p % 12] for p in range(end - 20, end))
+    turned = bases[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    assert (got[1]["status"], got[1]["out_line"].split("\t")) == ("ok", ["chr1", str(end - 19), str(end), "+", turned, "new"])
+    assert got[2]["status"] == "unmapped"
