@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 
 from anchorspan.functions import chrom as names
 from anchorspan.operators.intervals import BIN, interval_join
-from anchorspan.session import broadcast_if_small, ship
+from anchorspan.session import BROADCAST_ROWS, ship
 
 #: Blocks that are sent to every worker at most (about 60 bytes each).
 MAX_SENT = 500_000
+#: Entries of a level that one of the next level covers; and so many blocks are tried one by one.
+FAN_BITS = 3
+FAN, FEW = 1 << FAN_BITS, 32
 SEGMENT = "struct<seq:int,s_start:bigint,s_end:bigint,t_chrom:string,t_start:bigint,t_end:bigint,t_strand:string>"
 
 
@@ -85,6 +88,9 @@ class BlockIndex:
         self.reach = self.end.copy()
         for a, b in self.span.values():
             self.reach[a:b] = np.maximum.accumulate(self.end[a:b])
+        self.peaks = [self.end]  # each level holds the largest end of FAN entries of the level below
+        while len(self.peaks[-1]) > FAN:
+            self.peaks.append(np.maximum.reduceat(self.peaks[-1], np.arange(0, len(self.peaks[-1]), FAN)))
         self.resolve = Resolver(self.span)
 
     def overlaps(self, chrom: list[str | None], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,10 +109,37 @@ class BlockIndex:
             low[rows] = a + np.searchsorted(self.reach[a:b], start[rows], side="right")
             high[rows] = a + np.searchsorted(self.start[a:b], end[rows], side="left")
         count = np.where(end >= start, np.maximum(0, high - low), 0)
-        query = np.repeat(np.arange(len(chrom)), count)
-        block = np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count) + low[query]
+        few = np.where(count <= FEW, count, 0)
+        query = np.repeat(np.arange(len(chrom)), few)
+        block = np.arange(len(query)) - np.repeat(np.cumsum(few) - few, few) + low[query]
         hit = self.end[block] > start[query]
-        return known, query[hit], block[hit]
+        query, block = query[hit], block[hit]
+        if (wide := np.flatnonzero(count > FEW)).size:
+            more = self._descend(wide, low, high, start)
+            query, block = np.concatenate((query, more[0])), np.concatenate((block, more[1]))
+            order = np.lexsort((block, query))
+            query, block = query[order], block[order]
+        return known, query, block
+
+    def _descend(self, query: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, block) of the blocks from low to high whose end lies beyond start.
+
+        Goes down the levels of largest ends and leaves out every part without such a block, so the work grows with what is
+        found and not with what lies between, however the blocks are nested.
+        """
+        shift = FAN_BITS * (len(self.peaks) - 1)
+        first, count = low[query] >> shift, ((high[query] - 1) >> shift) - (low[query] >> shift) + 1
+        node = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first, count)
+        query = np.repeat(query, count)
+        for level in range(len(self.peaks) - 1, -1, -1):
+            reaches = self.peaks[level][node] > start[query]
+            query, node = query[reaches], node[reaches]
+            if level:
+                shift -= FAN_BITS
+                query, node = np.repeat(query, FAN), (node[:, None] * FAN + np.arange(FAN)).ravel()
+                inside = (node >= low[query] >> shift) & (node <= (high[query] - 1) >> shift)
+                query, node = query[inside], node[inside]
+        return query, node
 
     def segments(self, chrom: list[str | None], start: np.ndarray, end: np.ndarray, minus: np.ndarray, style: str) -> pa.ListArray:
         known, query, block = self.overlaps(chrom, start, end)
@@ -190,16 +223,43 @@ class Lifter:
         if self.sent is not None:
             return records.withColumn(name, self.segments(chrom, start, end, strand))
         keyed = records.select(rid, chrom.alias("q_chrom"), start.cast("bigint").alias("q_start"), end.cast("bigint").alias("q_end"), strand.cast("string").alias("q_strand"))
-        rows = lift_join(keyed, self.blocks, self.style, self.width)
+        names_known = ChainNames(self.blocks)
+        rows = lift_join(keyed, self.blocks, self.style, self.width, known=names_known)
         order = ["s_start0", "s_end0", "block_id"]
         parts = ["s_start", "s_end", "t_chrom", "t_start", "t_end", "t_strand"]
         sorted_rows = F.array_sort(F.collect_list(F.struct(*order, *parts)))
         packed = F.transform(sorted_rows, lambda x, i: F.struct(i.cast("int").alias("seq"), *[x[p].alias(p) for p in parts]))
         gathered = rows.groupBy(rid).agg(packed.alias("_found"))
-        known = resolved_names(keyed, self.blocks).select(F.col("q_chrom").alias("_name"), F.lit(True).alias("_known"))
-        joined = records.join(gathered, rid, "left").join(broadcast_if_small(known), chrom == F.col("_name"), "left")
+        joined = names_known.resolve(records.withColumn("_name", chrom), "_name", "_known").join(gathered, rid, "left")
         none = F.array().cast(f"array<{SEGMENT}>")
-        return joined.withColumn(name, F.when(F.col("_known"), F.coalesce("_found", none))).drop("_found", "_name", "_known")
+        return joined.withColumn(name, F.when(F.col("_known").isNotNull(), F.coalesce("_found", none))).drop("_found", "_name", "_known")
+
+
+class ChainNames:
+    """The source names of blocks, by which record names are resolved.
+
+    The names are counted over the blocks alone: where they are few, as of assemblies, they go to the workers and no record
+    is moved; beyond that the distinct names of the records are resolved by joins.
+    """
+
+    def __init__(self, blocks: DataFrame):
+        self.blocks = blocks
+        known = blocks.select("source_chrom").distinct().limit(BROADCAST_ROWS + 1).toArrow().column(0).to_pylist()
+        self.sent = blocks.sparkSession.sparkContext.broadcast(Resolver(known)) if len(known) <= BROADCAST_ROWS else None
+
+    def resolve(self, records: DataFrame, name: str, into: str) -> DataFrame:
+        """records with the chain's name of the column ``name``; null for none."""
+        if self.sent is None:
+            mapping = resolved_names(records, self.blocks, name).select(F.col("q_chrom").alias("_q"), F.col("source_chrom").alias(into))
+            return records.join(mapping, F.col(name) == F.col("_q"), "left").drop("_q")
+        sent = self.sent
+
+        @F.arrow_udf("string")
+        def found(c: pa.Array) -> pa.Array:
+            coded = c.dictionary_encode()
+            return pa.array([sent.value(x) if sent.value(x) in sent.value.known else None for x in coded.dictionary.to_pylist()], type=pa.string()).take(coded.indices)
+
+        return records.withColumn(into, found(F.col(name)))
 
 
 def resolved_names(records: DataFrame, blocks: DataFrame, name: str = "q_chrom") -> DataFrame:
@@ -214,14 +274,13 @@ def resolved_names(records: DataFrame, blocks: DataFrame, name: str = "q_chrom")
     return exact.select("q_chrom", "rank", "source_chrom").unionByName(by_alias).groupBy("q_chrom").agg(F.min_by("source_chrom", "rank").alias("source_chrom"))
 
 
-def lift_join(records: DataFrame, blocks: DataFrame, style: str = "a", width: int = BIN, small_blocks: bool | None = False) -> DataFrame:
+def lift_join(records: DataFrame, blocks: DataFrame, style: str = "a", width: int = BIN, small_blocks: bool | None = False, known: ChainNames | None = None) -> DataFrame:
     """One row per record and overlapping block, by the binned join: the columns of records, s_start0, s_end0, block_id
     (the block, for order), s_start, s_end, t_chrom, t_start, t_end, t_strand.
 
     records needs q_chrom, q_start, q_end, q_strand.
     """
-    mapping = resolved_names(records, blocks).select(F.col("q_chrom").alias("_q"), F.col("source_chrom").alias("_s"))
-    placed = records.join(broadcast_if_small(mapping), F.col("q_chrom") == F.col("_q")).drop("_q")
+    placed = (known or ChainNames(blocks)).resolve(records, "q_chrom", "_s").where(F.col("_s").isNotNull())
     pairs = interval_join(placed, blocks, ["_s", "q_start", "q_end"], ["source_chrom", "source_start", "source_end"], width=width, small_right=small_blocks)
     return pairs.select(*records.columns, *projected(style)).where("s_end >= s_start")
 

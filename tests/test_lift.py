@@ -1,10 +1,13 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from anchorspan.operators.intervals import interval_join
-from anchorspan.operators.lift import Lifter, Resolver
+from anchorspan.operators import lift
+from anchorspan.operators.lift import BlockIndex, Lifter, Resolver
 from anchorspan.sources import chain
 from tests.chains import BOTH_MINUS, MINUS, PLUS
 
@@ -97,3 +100,40 @@ def test_interval_join_against_brute_force(spark):
     for small in (None, False):
         got = interval_join(left, right, ["k", "s", "e"], ["k2", "s2", "e2"], width=64, small_right=small)
         assert sorted((r.i, r.j) for r in got.collect()) == want
+
+
+def index(start, end, chroms=None):
+    n = len(start)
+    return BlockIndex(pa.table({"block_id": np.arange(n), "source_chrom": ["c"] * n if chroms is None else chroms, "source_start": start, "source_end": end, "target_chrom": ["t"] * n, "target_start": start, "target_end": end, "target_strand": ["+"] * n}))
+
+
+@pytest.mark.parametrize("few", [0, 4, 32])
+def test_nested_blocks_against_brute_force(monkeypatch, few):
+    monkeypatch.setattr(lift, "FEW", few)
+    rng = np.random.default_rng(few)
+    for _ in range(60):
+        n, q = int(rng.integers(1, 200)), int(rng.integers(1, 30))
+        start = rng.integers(0, 500, n)
+        blocks = index(start, start + rng.choice([1, 5, 50, 500], n), rng.choice(list("ab"), n))
+        names, s = list(rng.choice(list("abz"), q)), rng.integers(-5, 510, q)
+        e = s + rng.choice([-3, 0, 1, 20, 600], q)
+        known, query, block = blocks.overlaps(names, s, e)
+        of = {j: k for k, (a, b) in blocks.span.items() for j in range(a, b)}
+        want = [(i, j) for i in range(q) for j in range(n) if of[j] == names[i] and s[i] <= e[i] and blocks.start[j] < e[i] and blocks.end[j] > s[i]]
+        assert list(zip(query.tolist(), block.tolist(), strict=True)) == want
+        assert known.tolist() == [x in blocks.span for x in names]
+
+
+def test_a_block_over_all_others_costs_no_memory():
+    import tracemalloc
+
+    start = np.append(np.arange(500_000) * 500, 0)
+    blocks = index(start, np.append(start[:-1] + 300, 250_000_000))
+    s = np.random.default_rng(3).integers(0, 250_000_000 - 200, 10_000)
+    tracemalloc.start()
+    _, query, block = blocks.overlaps(["c"] * len(s), s, s + 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    assert len(query) == 10_000 + (((s % 500) < 300) | ((s % 500) > 300)).sum()
+    assert ((blocks.start[block] < s[query] + 200) & (blocks.end[block] > s[query])).all()
