@@ -1,4 +1,4 @@
-"""Session helpers: local sessions for tests and benches, checkpoint folder, size-checked broadcast."""
+"""Session helpers: local sessions for tests and benches, size-checked broadcast."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast by hint only if it has at most this many rows (counted, not guessed).
 BROADCAST_ROWS = 200_000
+#: And at most so many bytes in memory, where it is in hand.
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -46,15 +48,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoint(): spark.checkpoint.dir if the session names one, else (tests only) a local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="anchorspan-checkpoint-"))
-    return named or context._jsc.sc().getCheckpointDir().get()
-
-
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most ``rows`` rows. Reads no more than rows + 1 of them."""
     return df.limit(rows + 1).count() <= rows
@@ -63,3 +56,14 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted size allows one; beyond it, df as it is (a shuffle join follows)."""
     return F.broadcast(df) if fits(df, rows) else df
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df taken in one job and broadcast, if it has at most ``rows`` rows and ``size`` bytes; beyond that df as it is (a shuffle join follows).
+
+    For a side that is costly to find and small in the end, such as one row per file: it is found once, not again in the plan.
+    """
+    taken = df.limit(rows + 1).toArrow()
+    if taken.num_rows > rows or taken.nbytes > size:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(taken, df.schema))

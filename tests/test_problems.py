@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -127,6 +128,56 @@ def test_long_lines_are_parsed_whole():
     assert lineparse.diagnose("chr1" + "\t" * 30_000 + "x", 3, 12, BED_AT, "bed")[0] == "wrong_field_count"
 
 
+WIDE = {"chrom": 1, "start": 2, "allele": 4}
+
+
+def test_wide_lines_get_their_cheapest_edits():
+    """Edits of one kind whatever the width; lines of 100,000 columns take seconds."""
+    for columns in (20, 456, 457, 2_000, 100_000):
+        line = "chr1\t5\t.\tA\t" + "\t".join(["0/1"] * columns)
+        legal = columns + 4
+        assert lineparse.diagnose(line, legal, legal, WIDE, "vcf") == (None, [], 0)
+        assert lineparse.diagnose(line + "\tx" * 440, legal, legal, WIDE, "vcf") == ("wrong_field_count", [f"delete 440 delimiters after field {legal}"], 440_000)
+        assert lineparse.diagnose(line, legal + 440, legal + 440, WIDE, "vcf") == ("wrong_field_count", ["insert 440 delimiters at the end"], 440_000)
+        fault, edits, _ = lineparse.diagnose(line + '"', legal, legal, WIDE, "vcf")
+        assert (fault, edits) == ("broken_quoting", [f"delete quote at {len(line)}"])
+        fault, edits, _ = lineparse.diagnose('chr1\t5\t"' + line[7:], legal, legal, WIDE, "vcf")
+        assert (fault, edits) == ("broken_quoting", ["delete quote at 7"])
+        split = line.replace("\tA\t", "\t\t\tA\t")
+        assert lineparse.diagnose(split, legal, legal, WIDE, "vcf")[1] == ["delete 2 delimiters after field 4"]  # the empty fields and A as one
+
+
+def wrong(fields, typed, kind):
+    return sum(lineparse._type_cost(fields[i - 1], k, kind) for i, k in typed.items())
+
+
+cells = st.lists(st.sampled_from(["chr1", "5", "9", "+", "-", ".", "A", "", "0", "00", "9223372036854775807", "x!", '"5"', "5 9", "chr1 5 9"]), min_size=1, max_size=7)
+
+
+@settings(max_examples=300, deadline=None)
+@given(cells, st.integers(1, 9), st.sampled_from([("bed", {1: "chrom", 2: "start", 3: "end", 6: "strand"}), ("vcf", {1: "chrom", 2: "start", 4: "allele"}), ("maf", {2: "chrom", 1: "start", 4: "end", 3: "strand", 5: "allele"})]))
+def test_least_cost_against_all_edits(given_fields, goal, format):
+    kind, roles = format
+    typed = {i: k for i, k in roles.items() if i <= goal}
+    n, ways = len(given_fields), []
+    if goal < n:
+        for cuts in itertools.combinations(range(1, n), goal - 1):
+            ways.append(["".join(given_fields[a:b]) for a, b in itertools.pairwise([0, *cuts, n])])
+    elif goal > n:
+        parts = [[[f]] + [[" ".join(x) for x in (f.split()[:k], f.split()[k:])] for k in range(1, len(f.split())) if '"' not in f] + ([f.split()] if len(f.split()) > 2 else []) for f in given_fields]
+        for choice in itertools.product(*parts):
+            flat = [x for c in choice for x in c]
+            for at in itertools.combinations_with_replacement(range(len(flat) + 1), goal - len(flat)) if goal >= len(flat) else []:
+                made = list(flat)
+                for p in sorted(at, reverse=True):
+                    made.insert(p, "")
+                ways.append(made)
+    if ways:
+        cost, edits, fields = lineparse._fit("\t".join(given_fields) + "\t" * (given_fields[-1] == ""), goal, goal, roles, kind)
+        assert len(fields) == goal and cost == abs(goal - n) * 1000 + min(wrong(w, typed, kind) for w in ways) == abs(goal - n) * 1000 + wrong(fields, typed, kind)
+        assert edits
+
+
 def raw_lines():
     head = "Hugo\tChromosome\tStart_Position\tEnd_Position\tStrand\tReference_Allele"
     files = {
