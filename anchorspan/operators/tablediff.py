@@ -1,9 +1,10 @@
 """Differences between two copies of a table.
 
-Content-defined chunking: both copies, cut to their newest row per key, meet in one range partitioning by key. Inside
-a partition each copy is cut into chunks where a rolling hash of its last keys meets a condition, so equal content is
-cut alike however many rows went missing before it. A chunk has a fingerprint of all its rows; chunks whose
-fingerprint the other copy has are done, and only the rows of the rest are compared field by field.
+Content-defined chunking: of each copy, cut to its newest row per key, only key, key hash and row hash go on to the chunker, where
+rows of equal keys meet in order of the key. A chunk ends where a rolling hash of the last keys meets a condition, so
+equal content is cut alike however many rows went missing before it. A chunk has a fingerprint of all its rows; chunks whose
+fingerprint the other copy has are done (the anti-join of fingerprints is a set test, as both lie together), and only
+for the keys of the rest are the fields fetched and compared, one by one, by JVM-side expressions.
 
 Defined results: rows with a null key are left out (nothing can be matched to them); of several rows of a key the one
 with the latest order value holds, ties broken by the largest field values; null equals null and differs from any
@@ -15,7 +16,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from anchorspan.session import ship
 CHUNK_ROWS = 64
 #: Keys that the rolling hash spans.
 ROLL = 4
-#: Rows of a partition that are compared at once; a limit of memory, no limit of the result.
+#: Rows of a partition whose chunks are compared at once; a limit of memory, no limit of the result.
 BLOCK_ROWS = 100_000
 
 
@@ -47,89 +49,92 @@ def chunk_ids(keys: np.ndarray, chunk_rows: int = CHUNK_ROWS, roll: int = ROLL)
     return np.concatenate(([0], np.cumsum(ends)[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
 
 
-def unmatched(ours: pd.DataFrame, theirs: pd.DataFrame, chunk_rows: int = CHUNK_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Masks of the rows whose chunk fingerprint the other side lacks. Both frames have key_hash, row_hash, row_hash2 and are sorted by key."""
+def fingerprints(keys: np.ndarray, rows: np.ndarray, chunk_rows: int = CHUNK_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk number of each row, and of each chunk a fingerprint of its row hashes and their order. Rows are sorted by key."""
+    ids = chunk_ids(keys, chunk_rows)
+    firsts = np.flatnonzero(np.diff(ids, prepend=-1))
+    rows = rows.astype(np.uint64)
+    place = (2 * (np.arange(len(ids)) - firsts[ids]) + 3).astype(np.uint64)
+    out = np.empty(len(firsts), dtype=[("a", np.uint64), ("b", np.uint64), ("n", np.int64)])
+    out["a"] = np.add.reduceat(rows * place, firsts)
+    out["b"] = np.add.reduceat((rows ^ (rows >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) * place, firsts)
+    out["n"] = np.diff(firsts, append=len(ids))
+    return ids, out
 
-    def prints(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        ids = chunk_ids(side["key_hash"].to_numpy(), chunk_rows)
-        firsts = np.flatnonzero(np.diff(ids, prepend=-1))
-        with np.errstate(over="ignore"):
-            place = np.arange(len(ids)) - firsts[ids] + 1
-            a = np.add.reduceat(side["row_hash"].to_numpy().astype(np.uint64) * (2 * place + 1).astype(np.uint64), firsts)
-            b = np.add.reduceat(side["row_hash2"].to_numpy().astype(np.uint64) * (2 * place + 1).astype(np.uint64), firsts)
-        out = np.empty(len(firsts), dtype=[("a", np.uint64), ("b", np.uint64), ("n", np.int64)])
-        out["a"], out["b"], out["n"] = a, b, np.diff(firsts, append=len(ids))
-        return ids, out
 
-    if not len(ours) or not len(theirs):
-        return np.ones(len(ours), dtype=bool), np.ones(len(theirs), dtype=bool)
-    (ids_a, a), (ids_b, b) = prints(ours), prints(theirs)
-    return ~np.isin(a, b)[ids_a], ~np.isin(b, a)[ids_b]
+def unmatched(side: np.ndarray, keys: np.ndarray, rows: np.ndarray, chunk_rows: int = CHUNK_ROWS) -> np.ndarray:
+    """Mask of the rows whose chunk's fingerprint the other side lacks. side is 0 or 1; the rows of each are sorted by key."""
+    out = np.ones(len(side), dtype=bool)
+    places = [np.flatnonzero(side == k) for k in (0, 1)]
+    if all(len(p) for p in places):
+        (ids_a, a), (ids_b, b) = (fingerprints(keys[p], rows[p], chunk_rows) for p in places)
+        out[places[0]], out[places[1]] = ~np.isin(a, b)[ids_a], ~np.isin(b, a)[ids_b]
+    return out
 
 
-def diff(
-    left: DataFrame, right: DataFrame, fields: Sequence[str], tolerance: dict[str, int] | None = None, *, partitions: int | None = None, missing: tuple[str, str] = ("missing_in_left", "missing_in_right"), chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
-    """(key string, diff_kind string, left_value string, right_value string) of two tables (key, fields...) with unique keys.
-
-    diff_kind is missing[0] for a key only in right, missing[1] for a key only in left, else the differing field.
-    Fields in ``tolerance`` are numbers that differ if they are more than so far apart.
-    """
+def open_keys(left: DataFrame, right: DataFrame, fields: Sequence[str], *, partitions: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(key): the keys of all chunks without a counterpart, each once. A key that it lacks has equal rows on both sides."""
     ship(left.sparkSession)
-    tolerance = tolerance or {}
-    fields = list(fields)
 
     def side(df: DataFrame, mark: int) -> DataFrame:
-        row = [F.col("key"), *[F.coalesce(F.col(f).cast("string"), F.lit("\0")) for f in fields]]
-        return df.select(
-            "key", F.lit(mark).cast("byte").alias("side"), F.xxhash64("key").alias("key_hash"), F.xxhash64(*row).alias("row_hash"), F.xxhash64(F.lit(97), *reversed(row)).alias("row_hash2"),
-            *[F.col(f).cast("bigint" if f in tolerance else "string").alias(f) for f in fields],
-        )
+        row = [F.col("key"), *[c for f in fields for c in (F.col(f).isNull(), F.coalesce(F.col(f).cast("string"), F.lit("")))]]
+        return df.where(F.col("key").isNotNull()).select("key", F.lit(mark).cast("byte").alias("side"), F.xxhash64(*row).alias("row_hash"))
 
     both = side(left, 0).unionByName(side(right, 1))
-    n = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = both.repartitionByRange(n, "key").sortWithinPartitions("key", "side")
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        ours, theirs = block[block["side"] == 0], block[block["side"] == 1]
-        keep_a, keep_b = unmatched(ours, theirs, chunk_rows)
-        joined = ours[keep_a].merge(theirs[keep_b], on="key", how="outer", suffixes=("_l", "_r"), indicator=True)
-        out = []
-
-        def add(rows: pd.DataFrame, kind: str, f: str | None = None) -> None:
-            if len(rows):
-                text = (lambda c: rows[c].astype(object).where(rows[c].notna(), None).map(lambda v: v if v is None else str(v))) if f else None
-                out.append(pd.DataFrame({"key": rows["key"], "diff_kind": kind, "left_value": text(f + "_l") if f else None, "right_value": text(f + "_r") if f else None}))
-
-        add(joined[joined["_merge"] == "right_only"], missing[0])
-        add(joined[joined["_merge"] == "left_only"], missing[1])
-        pairs = joined[joined["_merge"] == "both"]
-        for f in fields:
-            a, b = pairs[f + "_l"], pairs[f + "_r"]
-            one_null = a.isna() != b.isna()
-            neither = a.notna() & b.notna()
-            if f in tolerance:
-                far = (a.astype("Int64") - b.astype("Int64")).abs().gt(tolerance[f]).fillna(False).astype(bool)
-            else:
-                far = a != b
-            add(pairs[one_null | (neither & far)], f, f)
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["key", "diff_kind", "left_value", "right_value"])
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    placed = both.repartition(partitions, "key") if partitions else both.repartition("key")
+    ordered = placed.sortWithinPartitions("key", "side").select("key", "side", F.xxhash64("key").alias("key_hash"), "row_hash")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         count = 0
+
+        def found(block: pa.Table) -> pa.RecordBatch:
+            number = [block.column(c).to_numpy() for c in ("side", "key_hash", "row_hash")]
+            open_rows = np.flatnonzero(unmatched(*number, chunk_rows))
+            keys = block.column("key").combine_chunks().take(pa.array(open_rows))
+            if len(keys) > 1:  # a key has two rows at most, one after the other
+                keys = keys.filter(pa.array(np.append(True, pa.compute.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False))))
+            return pa.RecordBatch.from_arrays([keys], names=["key"])
+
         for batch in batches:
-            for f in tolerance:
-                batch[f] = batch[f].astype("Int64")
             held.append(batch)
-            count += len(batch)
+            count += batch.num_rows
             if count >= BLOCK_ROWS:
-                block = pd.concat(held, ignore_index=True)
-                last = block["key"].iloc[-1]
-                cut = len(block) - int((block["key"].iloc[-2:] == last).sum())  # a key has two rows at most
-                yield compare(block.iloc[:cut])
-                held, count = [block.iloc[cut:]], len(block) - cut
-        if held:
-            yield compare(pd.concat(held, ignore_index=True))
-
-    return ordered.mapInPandas(scan, "key string, diff_kind string, left_value string, right_value string")
+                block = pa.Table.from_batches(held)
+                last = block.column("key")[-1]
+                cut = count - sum(block.column("key")[k] == last for k in (-1, -2) if count >= -k)
+                yield found(block.slice(0, cut))
+                held, count = block.slice(cut).to_batches(), count - cut
+        if count:
+            yield found(pa.Table.from_batches(held))
+
+    return ordered.mapInArrow(scan, "key string")
+
+
+def diff(
+    left: DataFrame, right: DataFrame, fields: Sequence[str], tolerance: dict[str, int] | None = None, *, partitions: int | None = None, missing: tuple[str, str] = ("missing_in_left", "missing_in_right"), chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """(key string, diff_kind string, left_value string, right_value string) of two tables (key, fields...) with unique keys.
+
+    diff_kind is missing[0] for a key only in right, missing[1] for a key only in left, else the differing field.
+    Fields in ``tolerance`` are numbers that differ if they are more than so far apart.
+    """
+    tolerance, fields = tolerance or {}, list(fields)
+    sides = [df.where(F.col("key").isNotNull()).select("key", F.struct(*[F.col(f).cast("bigint" if f in tolerance else "string").alias(f) for f in fields]).alias(x)) for df, x in ((left, "l"), (right, "r"))]
+    rows = open_keys(left, right, fields, partitions=partitions, chunk_rows=chunk_rows)
+    for s in sides:
+        rows = rows.join(s, "key", "left")
+    none = F.lit(None).cast("string")
+
+    def entry(kind: str, a: Column = none, b: Column = none) -> Column:
+        return F.struct(F.lit(kind).alias("diff_kind"), a.alias("left_value"), b.alias("right_value"))
+
+    differing = []
+    for f in fields:
+        a, b = F.col(f"l.{f}"), F.col(f"r.{f}")
+        same = a.eqNullSafe(b)
+        if f in tolerance:
+            same |= F.coalesce(F.abs(a - b) <= tolerance[f], F.lit(False))
+        differing.append(F.when(~same, entry(f, a.cast("string"), b.cast("string"))))
+    kinds = F.when(F.col("l").isNull(), F.array(entry(missing[0]))).when(F.col("r").isNull(), F.array(entry(missing[1]))).otherwise(F.filter(F.array(*differing), lambda x: x.isNotNull()))
+    return rows.select("key", F.explode(kinds).alias("x")).select("key", "x.*")

@@ -18,10 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _by_chrom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both record tables compressed to (record_table, chrom_key, value, freq); the value is the length on the reference."""
-    bed, vcf = table(spark, sf_dir, "bed_records"), table(spark, sf_dir, "vcf_records")
-    value = {"bed_records": (bed, F.col("chrom_end") - F.col("chrom_start")), "vcf_records": (vcf, F.length("ref_allele").cast("bigint"))}
-    parts = [keystats.compress(df, {"record_table": F.lit(name), "chrom_key": chrom_key(F.col("chrom"))}, v) for name, (df, v) in value.items()]
-    return parts[0].unionByName(parts[1])
+    value = {"bed_records": F.col("chrom_end") - F.col("chrom_start"), "vcf_records": F.length("ref_allele").cast("bigint")}
+    sides = [table(spark, sf_dir, name).select(F.lit(name).alias("record_table"), chrom_key(F.col("chrom")).alias("chrom_key"), v.alias("v")) for name, v in value.items()]
+    return keystats.compress(sides[0].unionByName(sides[1]), {k: F.col(k) for k in KEYS}, F.col("v"))
 
 
 KEYS = ["record_table", "chrom_key"]
@@ -34,13 +33,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_chrom_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per table and chromosome: rows, distinct lengths, their mode and percentiles, and the bases of bed_records covered."""
-    compressed = _by_chrom(spark, sf_dir)
-    counts = keystats.key_counts(compressed, KEYS)
-    at = keystats.percentiles(compressed, KEYS, [0.5, 0.9], levels=2)
-    wide = at.groupBy(*KEYS).agg(*[F.max(F.when(F.col("p") == p, F.col("percentile"))).alias(n) for p, n in ((0.5, "p50"), (0.9, "p90"))])
+    rows = keystats.ranked(_by_chrom(spark, sf_dir), KEYS)
     bed = table(spark, sf_dir, "bed_records")
-    covered = keystats.covered_bases(bed, {"record_table": F.lit("bed_records"), "chrom_key": chrom_key(F.col("chrom"))}, F.col("chrom_start"), F.col("chrom_end"))
-    return counts.join(wide, KEYS, "left").join(covered, KEYS, "left")
+    covered = keystats.covered_parts(bed, {"chrom_key": chrom_key(F.col("chrom"))}, F.col("chrom_start"), F.col("chrom_end")).withColumn("record_table", F.lit("bed_records"))
+    both = rows.unionByName(covered, allowMissingColumns=True)  # one aggregate for both: a row has either a value or a covered part
+    per = both.groupBy(*KEYS).agg(*keystats.counts(), keystats.percentile(0.5).alias("p50"), keystats.percentile(0.9).alias("p90"), F.sum("covered").alias("covered"))
+    return per.select(*KEYS, "n_rows", "n_values", "n_distinct", F.col("top.v").alias("mode"), (-F.col("top.f")).alias("mode_freq"), "p50", "p90", "covered")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +79,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: Rows of a chunk: the two tools differ in one of some twenty records, so longer chunks would nearly all differ somewhere.
+DIFF_CHUNK = 8
 FIELDS = ["chrom", "chrom_start", "chrom_end", "strand"]
 
 
@@ -89,7 +89,7 @@ def _lift_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in ("lift_ref", "lift_test"):
         fields = {"chrom": chrom_key(F.col("chrom")), "chrom_start": F.col("chrom_start"), "chrom_end": F.col("chrom_end"), "strand": F.col("strand")}
         sides.append(tablediff.newest(table(spark, sf_dir, name), trimmed(F.col("lift_key")), fields, F.col("loaded_at")))
-    return tablediff.diff(*sides, FIELDS, {"chrom_start": 1, "chrom_end": 1}, missing=("missing_in_ref", "missing_in_test"))
+    return tablediff.diff(*sides, FIELDS, {"chrom_start": 1, "chrom_end": 1}, missing=("missing_in_ref", "missing_in_test"), chunk_rows=DIFF_CHUNK)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

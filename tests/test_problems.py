@@ -1,6 +1,8 @@
 import itertools
 import math
+import os
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -47,6 +49,36 @@ def test_percentiles_of_doubles(spark):
     assert got == {0.125: -1e300, 0.5: 0.5, 0.75: 3.75, 0.875: 1e300}
 
 
+def test_percentiles_where_values_crowd(spark):
+    """A narrow range far from zero, a huge outlier, tiny and equal values: every bucket stays small and the rank is exact."""
+    rng = random.Random(6)
+    sets = {
+        "times": [1_700_000_000_000_000 + rng.randint(0, 10**12) for _ in range(300)], "outlier": [rng.randint(1, 1000) for _ in range(200)] + [2**62, -(2**62)], "wide": [rng.choice([-1, 1]) * rng.randint(0, 2 ** rng.randint(0, 62)) for _ in range(300)],
+        "near": [2**62 + rng.randint(0, 5000) for _ in range(200)], "one": [7] * 50,
+    }
+    compressed = keystats.compress(spark.createDataFrame([(k, v) for k, vs in sets.items() for v in vs], "k string, v long"), {"k": F.col("k")}, F.col("v"))
+    ps = [0.0, 0.01, 0.3, 0.5, 0.9, 1.0]
+    got = {(r.k, r.p): r.percentile for r in keystats.percentiles(compressed, ["k"], ps).collect()}
+    assert got == {(k, p): sorted(vs)[max(1, math.ceil(p * len(vs))) - 1] for k, vs in sets.items() for p in ps}
+    buckets = compressed.withColumn("b", keystats.bucket_of(F.col("value"))).collect()
+    for k in ("times", "outlier", "wide"):
+        seen = [r.b for r in sorted((r for r in buckets if r.k == k), key=lambda r: r.value)]
+        assert seen == sorted(seen) and len(set(seen)) > 0.5 * min(len(seen), 190)
+    doubles = [0.0, -0.0, 5e-324, 1e-300, 1e-20, 1.0, 1.0 + 1e-9, 1e300, math.inf, -math.inf, NAN, -1e-300, 1.7e308]
+    placed = {repr(r.v): r.b for r in spark.createDataFrame([(v,) for v in doubles], "v double").withColumn("b", keystats.bucket_of(F.col("v"))).collect()}
+    order = sorted((v for v in doubles if v == v), key=lambda v: v)
+    assert [placed[repr(v)] for v in order] == sorted(placed[repr(v)] for v in order) and placed["nan"] > placed["inf"] > placed["1.7e+308"] > placed["1e+300"]
+
+
+def test_plan_of_the_chromosome_statistics(spark):
+    """Three scans and ten exchanges at most, and no task with all rows of a chromosome."""
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    plan = problems.p1_chrom_stats(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 5 and len(re.findall(r"(?<!Reused)(?<!Broadcast)Exchange ", plan)) <= 11
+
+
 @pytest.mark.parametrize("width", [4, 1 << 16])
 def test_covered_bases(spark, width):
     rng = random.Random(9)
@@ -259,6 +291,20 @@ def test_diff_against_brute_force(spark, chunk_rows):
     assert tablediff.diff(frame(left), none, ["a", "n"]).count() == len(left)
 
 
+def test_null_differs_from_any_text(spark):
+    left = spark.createDataFrame([("a", None), ("b", ""), ("c", "\0"), ("d", None), (None, "x")], "key string, v string")
+    right = spark.createDataFrame([("a", "\0"), ("b", None), ("c", "\0"), ("d", None), (None, "y")], "key string, v string")
+    assert sorted(tuple(r) for r in tablediff.diff(left, right, ["v"]).collect()) == [("a", "v", None, "\0"), ("b", "v", "", None)]
+
+
+def test_fields_of_matched_chunks_are_left_alone(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "key string, v long")
+    rows = [(f"k{i:05}", i) for i in range(4000)]
+    other = [(k, -1 if k == "k01234" else v) for k, v in rows if k != "k03000"]
+    keys = [r.key for r in tablediff.open_keys(frame(rows), frame(other), ["v"], chunk_rows=8, partitions=2).collect()]
+    assert {"k01234", "k03000"} <= set(keys) and len(keys) == len(set(keys)) < 200
+
+
 def test_chunks_find_their_way_back():
     import numpy as np
 
