@@ -158,6 +158,11 @@ class ChainFile:
     sizes: DataFrame
 
 
+def size_of(sizes: dict[str, int], name: str) -> int | None:
+    """The size of a sequence by its name: as it is, else without chr before it, else with it."""
+    return next((sizes[n] for n in (name, name.removeprefix("chr"), f"chr{name}") if n in sizes), None)
+
+
 def load(lines: DataFrame, strict: bool = True) -> ChainFile:
     """The chains of lines. strict: the first faulty line raises; else faulty lines are left out."""
     headers, data = parse(lines)

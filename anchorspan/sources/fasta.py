@@ -38,6 +38,12 @@ def lengths(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("name").agg(F.sum(F.length("seq")).cast("bigint").alias("length"))
 
 
+def in_file_order(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(length, name, file, block, at) of each sequence of FASTA lines and their chunks: where it stands in the file."""
+    heads = rows.where(F.col("line").startswith(">")).groupBy(F.regexp_extract("line", r"^>\s*(\S*)", 1).alias("name")).agg(F.max(F.struct(*text_lines.ORDER)).alias("x"))
+    return lengths(chunks).join(heads, "name").select("length", "name", *[F.col(f"x.{c}").alias(c) for c in text_lines.ORDER])
+
+
 def other_name(name: Column) -> Column:
     """The name with its chr taken off, or put on."""
     return F.when(name.startswith("chr"), F.substring(name, 4, 1_000_000)).otherwise(F.concat(F.lit("chr"), name))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from anchorspan import cli
 from anchorspan.operators.lift import Lifter
 from anchorspan.plans import bed, files, gff, maf, region, sam, vcf, wig
-from anchorspan.sources import binary, chain, fasta
+from anchorspan.sources import binary, chain, fasta, sink
 from anchorspan.sources import lines as text_lines
 from anchorspan.sources import wig as wig_source
 from tests.chains import MINUS, PLUS
@@ -206,6 +206,44 @@ def test_bam_round_trip(spark, tmp_path):
         list(binary.read_bam(str(tmp_path / "no.bam")))
 
 
+@pytest.mark.parametrize("split", [1, 700, 70_000, 1 << 30])
+def test_bam_in_splits(spark, tmp_path, split):
+    """Every record comes out once, in order, wherever the file is cut; long records cross several blocks and splits."""
+    head = ["@SQ\tSN:chr1\tLN:100000", "@SQ\tSN:chr2\tLN:1000"]
+    sizes = [5, 90, 151, 70_000, 3, 180_000] if split > 600 else [5, 40]
+    lines = []
+    for i in range(200 if split > 600 else 30):
+        n = sizes[i % len(sizes)]
+        fields = [f"r{i}", 16 * (i % 2), f"chr{1 + i % 2}", i % 900 + 1, 9, f"{n}M", "*", 0, 0, ("ACGTN" * n)[:n], "".join(chr(33 + (i * 7 + k) % 90) for k in range(n)), f"NM:i:{i}"]
+        lines.append("\t".join(map(str, fields)))
+    path = str(tmp_path / "a.bam")
+    binary.write_bam(path, head, lines)
+    bam = binary.BamFile(path)
+    step = max(split, 37)
+    got = [r for a in range(0, bam.length, step) for r in binary.BamFile(path).records(a, min(a + step, bam.length))] if split > 600 or bam.length < 40_000 else []
+    assert [r[0] for r in got] == [x.split("\t")[0] for x in lines]
+    assert [r[9] for r in got] == [x.split("\t")[9] for x in lines] and [r[10] for r in got] == [x.split("\t")[10] for x in lines]
+    assert [r[-1] for r in got] == sorted({r[-1] for r in got})
+    if split == 70_000:
+        binary.register(spark)
+        read = spark.read.format("bam").option("splitBytes", bam.length // 8).load(path)
+        assert read.rdd.getNumPartitions() > 5
+        assert [r.line for r in read.withColumn("line", sam.line(read)).orderBy("at").collect()] == lines
+
+
+def test_bigwig_index_of_several_levels():
+    blocks = [(k // 1000, k % 1000 * 10, k % 1000 * 10 + 9, 10_000 + k, 5) for k in range(5000)]
+    import io
+
+    reader = object.__new__(binary.BigWig)
+    reader.file, reader.order, reader.index_at, reader.packed = io.BytesIO(binary._index(blocks, 0, fan=4)), "<", 0, 0
+    seen = []
+    reader._block = lambda where, size, chrom: iter([(where, size, chrom)])
+    for c in range(5):
+        seen += [w for w, _, _ in reader.intervals(c)]
+    assert seen == [b[3] for b in blocks]
+
+
 def test_bigwig_round_trip(spark, tmp_path):
     rows = [(c, s, s + 5, float(s % 7)) for c in ("chr1", "chr2") for s in range(0, 30_000, 10)]
     binary.write_bigwig(str(tmp_path / "a.bw"), [("chr2", 40_000), ("chr1", 50_000)], rows)
@@ -247,6 +285,22 @@ def test_files(spark, tmp_path):
         files.convert_alignments(spark, path("a.chain.gz"), path("a.cram"), path("b.sam"))
 
 
+def test_parts_out_of_sight_fail(spark, tmp_path, monkeypatch):
+    """Where the tasks' disks are not the driver's, nothing is written and nothing is lost silently."""
+    (tmp_path / "a.chain").write_text(PLUS)
+    (tmp_path / "in.bed").write_text("chr1\t120\t180\n" * 50)
+    monkeypatch.setattr(sink.Target, "parts", lambda self, folder: [])
+    with pytest.raises(OSError, match="share"):
+        files.convert_bed(spark, str(tmp_path / "a.chain"), str(tmp_path / "in.bed"), str(tmp_path / "out.bed"))
+    assert not (tmp_path / "out.bed").exists() and not list(tmp_path.glob("*parts*"))
+
+
+def test_contigs_come_in_file_order(spark):
+    rows = text_lines.from_rows(spark, [">b", "AC", ">a x", "ACG", ">c", "T", ">b", "AAAA"])
+    got = fasta.in_file_order(rows, fasta.from_lines(rows)).orderBy(*text_lines.ORDER).collect()
+    assert [(r["name"], r["length"]) for r in got] == [("a", 3), ("c", 1), ("b", 4)]
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "a.chain").write_text(PLUS)
     (tmp_path / "in.bed").write_text("chr1\t100\t350\n")
