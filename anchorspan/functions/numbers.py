@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +38,13 @@ def shortest(value: float | None) -> str | None:
 
 
 def plain_double(col: Column) -> Column:
-    """shortest() of each value."""
+    """shortest() of each value. Only what comes out with an exponent or is no finite number is looked at one by one."""
     ship(SparkSession.active())
 
-    @F.pandas_udf("string")
-    def text(values: pd.Series) -> pd.Series:
-        return pd.Series([shortest(float(v)) for v in values])
+    @F.arrow_udf("string")
+    def text(values: pa.Array) -> pa.Array:
+        out = pa.compute.replace_substring_regex(pa.compute.cast(values, pa.string()), r"\.0$", "")
+        odd = pa.compute.fill_null(pa.compute.match_substring_regex(out, "[a-zA-Z]"), False)
+        return pa.compute.replace_with_mask(out, odd, pa.array([shortest(v) for v in values.filter(odd).to_pylist()], type=pa.string()))
 
-    return F.when(col.isNotNull(), text(col))
+    return text(col.cast("double"))

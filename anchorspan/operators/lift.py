@@ -262,6 +262,11 @@ class ChainNames:
         return records.withColumn(into, found(F.col(name)))
 
 
+def combined_strand(a: Column, b: Column) -> Column:
+    """The strand of a record on one side of an alignment that has another strand: + if they agree. A missing strand is +."""
+    return F.when(F.coalesce(a == "-", F.lit(False)) != F.coalesce(b == "-", F.lit(False)), "-").otherwise("+")
+
+
 def resolved_names(records: DataFrame, blocks: DataFrame, name: str = "q_chrom") -> DataFrame:
     """(q_chrom, source_chrom): the chain's name of every record chromosome that has one. One row per distinct name."""
     asked = records.select(F.col(name).alias("q_chrom")).distinct()
@@ -291,8 +296,7 @@ def projected(style: str) -> list[Column]:
     turned = F.col("target_strand") == "-"
     start = F.when(turned, F.col("target_end") - (s - F.col("source_start")) - (e - s)).otherwise(F.col("target_start") + s - F.col("source_start"))
     target = names.follow_habit(F.col("target_chrom"), F.col("q_chrom")) if style == "a" else names.apply_style(F.col("target_chrom"), style)
-    minus = F.coalesce(F.col("q_strand") == "-", F.lit(False))
     return [
         F.col("source_start").alias("s_start0"), F.col("source_end").alias("s_end0"), "block_id", s.alias("s_start"), e.alias("s_end"), target.alias("t_chrom"),
-        start.alias("t_start"), (start + e - s).alias("t_end"), F.when(minus != turned, "-").otherwise("+").alias("t_strand"),
+        start.alias("t_start"), (start + e - s).alias("t_end"), combined_strand(F.col("q_strand"), F.col("target_strand")).alias("t_strand"),
     ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from anchorspan.plans import sam as sam_plan
 from anchorspan.plans import vcf as vcf_plan
 from anchorspan.plans import wig as wig_plan
 from anchorspan.sources import chain, fasta
+from anchorspan.sources import wig as wig_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -47,20 +49,24 @@ def newest(df: DataFrame, key: str) -> DataFrame:
 
 
 def bed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bed_records as BED lines: six columns, or twelve where the block columns are there. Null names, scores and strands become dots; records without a chromosome are left out."""
-    df = table(spark, sf_dir, "bed_records").where(F.col("chrom").isNotNull())
+    """bed_records as BED lines: six columns, or twelve where the block columns are there. Null chromosomes, names, scores and strands become dots; a dot is an unknown chromosome."""
+    df = table(spark, sf_dir, "bed_records")
     dotted = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
-    six = F.concat_ws("\t", "chrom", F.col("chrom_start").cast("string"), F.col("chrom_end").cast("string"), dotted("bed_name"), dotted("score"), dotted("strand"))
+    six = F.concat_ws("\t", dotted("chrom"), F.col("chrom_start").cast("string"), F.col("chrom_end").cast("string"), dotted("bed_name"), dotted("score"), dotted("strand"))
     more = F.concat_ws("\t", six, F.col("thick_start").cast("string"), F.col("thick_end").cast("string"), "item_rgb", F.col("block_count").cast("string"), "block_sizes", "block_starts")
     whole = F.col("thick_start").isNotNull() & F.col("thick_end").isNotNull() & F.col("item_rgb").isNotNull() & F.col("block_count").isNotNull() & F.col("block_sizes").isNotNull() & F.col("block_starts").isNotNull()
     return df.select(F.col("bed_id").alias("at"), F.when(whole, more).otherwise(six).alias("line")).distinct()
 
 
 def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vcf_records as VCF lines of eight columns, without QUAL. Null fields become dots; records without a chromosome are left out."""
-    df = table(spark, sf_dir, "vcf_records").where(F.col("chrom").isNotNull())
+    """vcf_records as VCF lines, with FORMAT and sample where they are there. QUAL is its shortest text without a closing .0; null fields become dots, which are an unknown chromosome, too."""
+    df = table(spark, sf_dir, "vcf_records")
     dotted = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
-    fields = ["chrom", F.col("pos").cast("string"), *[dotted(c) for c in ("variant_id", "ref_allele", "alt_alleles")], F.lit("."), dotted("filter_status"), dotted("info")]
+    columns = set(df.columns)
+    qual = F.coalesce(numbers.plain_double(F.col("qual")), F.lit(".")) if "qual" in columns else F.lit(".")
+    fields = [dotted("chrom"), F.col("pos").cast("string"), *[dotted(c) for c in ("variant_id", "ref_allele", "alt_alleles")], qual, dotted("filter_status"), dotted("info")]
+    if {"gt_format", "sample_gt"} <= columns:
+        fields += [F.when(F.col("gt_format").isNotNull() & F.col("sample_gt").isNotNull(), F.concat_ws("\t", "gt_format", "sample_gt"))]
     return df.select(F.col("vcf_id").alias("at"), F.concat_ws("\t", *fields).alias("line")).distinct()
 
 
@@ -104,9 +110,62 @@ def chain_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def chain_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence sizes of both sides, the last header's for each name."""
-    h = table(spark, sf_dir, "chain_headers")
-    sides = [h.select(F.lit(s).alias("side"), F.col(f"{c}_name").alias("chrom"), F.col(f"{c}_size").alias("size"), "chain_id") for s, c in (("source", "t"), ("target", "q"))]
-    return sides[0].unionByName(sides[1]).groupBy("side", "chrom").agg(F.max_by("size", "chain_id").alias("size"))
+    sides = {"source": "t", "target": "q"}
+    named = table(spark, sf_dir, "chain_headers").select("chain_id", *[F.col(f"{c}_{x}").alias(f"{s}_{x}") for s, c in sides.items() for x in ("name", "size")])
+    return chain.sizes(named, F.col("chain_id"))
+
+
+def _chain_lines(spark: SparkSession, sf_dir: str, comments: bool = False) -> DataFrame:
+    """The chain tables as lines of one file. comments: with blank and # lines between chains, and one within every third chain after its second line."""
+    h, d = table(spark, sf_dir, "chain_headers"), table(spark, sf_dir, "chain_lines")
+    order = ["score", "t_name", "t_size", "t_strand", "t_start", "t_end", "q_name", "q_size", "q_strand", "q_start", "q_end", "chain_id"]
+    first = F.col("chain_id") * 1_000_000
+    head = h.select((first + 10).alias("line_no"), F.concat_ws(" ", F.lit("chain"), *[F.col(c).cast("string") for c in order]).alias("line"))
+    data = d.select((first + 20 + F.col("block_no") * 2).alias("line_no"), F.concat_ws("\t", *[F.col(c).cast("string") for c in ("block_size", "dt", "dq")]).alias("line"))
+    parts = [head, data]
+    if comments:
+        parts += [h.select((first + 1).alias("line_no"), F.lit("# chain").alias("line")), h.select((first + 2).alias("line_no"), F.lit("  ").alias("line")), h.where("chain_id % 3 = 0").select((first + 23).alias("line_no"), F.lit("# inside").alias("line"))]
+    return reduce(DataFrame.unionByName, parts).select(F.lit("x").alias("path"), "line_no", "line")
+
+
+@query
+def chain_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the chains as text with blank and # lines; a # line within a chain ends it."""
+    return chain.load(_chain_lines(spark, sf_dir, True)).blocks.drop("block_id")
+
+
+@query
+def chain_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chain lines that are made faulty by turns, with the kind of their fault."""
+    n, x = F.col("line_no") % 11, F.split("line", r"\s+")
+    cut = lambda i, value: F.array_join(F.transform(x, lambda v, k: F.when(k == i, F.lit(value)).otherwise(v)), " ")
+    lines = _chain_lines(spark, sf_dir)
+    head = F.col("line").startswith("chain")
+    turns = F.when(head, F.when(F.col("line_no") % 7_000_000 == 10, cut(4, "x")).when(F.col("line_no") % 5_000_000 == 10, cut(3, "12a")).when(F.col("line_no") % 3_000_000 == 10, cut(6, "9999999999999")).when(F.col("line_no") % 2_000_000 == 10, F.array_join(F.slice(x, 1, 9), " "))).otherwise(
+        F.when(n == 1, F.concat("line", F.lit("\t4"))).when(n == 2, cut(0, "0")).when(n == 3, cut(0, "-4"))
+    )
+    headers, data = chain.parse(lines.withColumn("line", F.coalesce(turns, "line")))
+    faulty = [df.where(F.col("error").isNotNull()).select("line_no", F.col("error").alias("kind")) for df in (headers, data)]
+    return faulty[0].unionByName(faulty[1])
+
+
+@query
+def chain_size_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target size of every record chromosome, by its name as it is, without chr, or with it."""
+    sizes = {r["chrom"]: r["size"] for r in chain_sizes(spark, sf_dir).where("side = 'target'").collect()}
+    c = F.col("chrom")
+    known = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    asked = table(spark, sf_dir, "bed_records").where(c.isNotNull()).select("chrom").distinct()
+    return asked.select("chrom", F.coalesce(*[F.try_element_at(known, n) for n in (c, F.regexp_replace(c, "^chr", ""), F.concat(F.lit("chr"), c))]).alias("size"))
+
+
+@query
+def fasta_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences made of the reference alleles of a chromosome as FASTA lines over many splits, read as chunks of 50 bases."""
+    v = newest(table(spark, sf_dir, "vcf_records").select("vcf_id", "chrom", "ref_allele"), "vcf_id").select("vcf_id", names.chrom_key(F.col("chrom")).alias("file"), "ref_allele").where("file is not null and ref_allele is not null")
+    lines = v.select("file", F.floor(F.col("vcf_id") / 500).alias("block"), F.col("vcf_id").alias("at"), F.col("ref_allele").alias("line"))
+    heads = v.select("file").distinct().select("file", F.lit(-1).cast("bigint").alias("block"), F.lit(-1).cast("bigint").alias("at"), F.concat(F.lit("> "), "file", F.lit(" made up")).alias("line"))
+    return fasta.from_lines(lines.unionByName(heads), 50)
 
 
 @query
@@ -160,7 +219,7 @@ def dna_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strand_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strand of a record on the target for each pair of strands."""
     h = table(spark, sf_dir, "chain_headers")
-    return h.select("chain_id", F.when(F.col("t_strand") == F.col("q_strand"), "+").otherwise("-").alias("combined"))
+    return h.select("chain_id", lift.combined_strand(F.col("t_strand"), F.col("q_strand")).alias("combined"))
 
 
 @query
@@ -204,6 +263,13 @@ def cigar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cigars(spark, sf_dir).select("bed_id", "cigar", cigar.reference_length(c).alias("ref_length"), cigar.query_length(c).alias("read_length"), cigar.reverse(c).alias("reversed"), cigar.merge_adjacent(c).alias("merged"))
 
 
+@query
+def cigar_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the CIGARs use up 60 or 100 read bases."""
+    c = F.col("cigar")
+    return cigars(spark, sf_dir).select("bed_id", cigar.is_valid(c, F.lit(60)).alias("fits_60"), cigar.is_valid(c, F.lit(100)).alias("fits_100"))
+
+
 @query
 def cigar_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CIGARs broken at half of their reference length."""
@@ -278,7 +344,7 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lift_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BED records with a chromosome converted: one row per output line, rejects with their line."""
+    """BED records converted: one row per output line, rejects with their line."""
     out = bed_plan.convert(bed_lines(spark, sf_dir), lifter(spark, sf_dir))
     lines = F.when(F.size("out") > 0, F.col("out")).otherwise(F.array("reject"))
     return out.select(F.col("at").alias("bed_id"), "status", F.posexplode(lines).alias("line_no", "line"))
@@ -292,10 +358,10 @@ def bed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of the hundredfold length around each BED record's start."""
-    bed = newest(table(spark, sf_dir, "bed_records").select("bed_id", "chrom", "chrom_start", "chrom_end", "strand", "thick_start", "thick_end"), "bed_id").where(F.col("chrom").isNotNull())
+    bed = newest(table(spark, sf_dir, "bed_records").select("bed_id", "chrom", "chrom_start", "chrom_end", "strand", "thick_start", "thick_end"), "bed_id")
     start, size = F.col("chrom_start"), F.col("chrom_end") - F.col("chrom_start")
     strand = F.coalesce("strand", F.lit("."))
-    return bed.select(F.col("bed_id").alias("at"), F.concat_ws("\t", "chrom", start.cast("string"), (start + size * F.when(F.col("bed_id") % 3 == 0, 0).when(F.col("bed_id") % 3 == 1, 10).otherwise(100)).cast("string"), F.lit("r"), F.lit("0"), strand).alias("line"))
+    return bed.select(F.col("bed_id").alias("at"), F.concat_ws("\t", F.coalesce("chrom", F.lit(".")), start.cast("string"), (start + size * F.when(F.col("bed_id") % 3 == 0, 0).when(F.col("bed_id") % 3 == 1, 10).otherwise(100)).cast("string"), F.lit("r"), F.lit("0"), strand).alias("line"))
 
 
 @query
@@ -314,14 +380,14 @@ def region_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lift_vcf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VCF records with a chromosome converted without a reference."""
+    """VCF records converted without a reference; out_line has QUAL, FORMAT and sample as they were, and is null for rejects."""
     out = vcf_plan.convert(vcf_lines(spark, sf_dir), lifter(spark, sf_dir))
     ok = F.col("status") == "ok"
-    return out.select(F.col("at").alias("vcf_id"), "status", *[F.when(ok, F.col(c)).alias(c) for c in ("t_chrom", "new_pos", "new_ref", "new_alt", "new_info")])
+    return out.select(F.col("at").alias("vcf_id"), "status", *[F.when(ok, F.col(c)).alias(c) for c in ("t_chrom", "new_pos", "new_ref", "new_alt", "new_info")], F.get("out", F.lit(0)).alias("out_line"))
 
 
-#: The made-up reference repeats this. REFERENCE_BASES is where the SQL cuts its sequences; the queries don't cut them.
-REFERENCE, REFERENCE_BASES = "ACGTTGCAGTCA", 1 << 22
+#: The made-up reference repeats this.
+REFERENCE = "ACGTTGCAGTCA"
 
 
 def reference(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
@@ -367,6 +433,16 @@ def lift_gvcf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("at").alias("vcf_id"), "status", *[F.when(ok, F.col(c)).alias(c) for c in ("t_chrom", "new_pos", "new_alt", "new_info")])
 
 
+@query
+def lift_gvcf_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a reference: the base at the new place becomes REF of all records but blocks."""
+    lines, to_target = vcf_lines(spark, sf_dir), lifter(spark, sf_dir)
+    placed = vcf_plan.convert_gvcf(lines, to_target).where(F.col("t_chrom").isNotNull() & F.col("stop").isNull())
+    asked = placed.select(F.col("t_chrom").alias("name"), (F.col("new_pos") - 1).alias("start"), F.col("new_pos").alias("end"))
+    out = vcf_plan.convert_gvcf(lines, to_target, reference(spark, sf_dir, asked))
+    return out.select(F.col("at").alias("vcf_id"), "status", F.get("out", F.lit(0)).alias("out_line"))
+
+
 @query
 def lift_gff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GFF features converted; out_line is null for rejects."""
@@ -409,9 +485,37 @@ def lift_wig(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def wig_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The points of each track and chromosome, rounded to halves, as merged bedGraph records. Points without a value and NaN are left out."""
-    rows = _points(spark, sf_dir).where(F.col("value").isNotNull() & ~F.isnan("value")).select("at", F.concat_ws("|", "track_id", names.chrom_key(F.col("chrom"))).alias("chrom"), "start", "end", (F.floor(F.col("value") * 2) / 2).alias("value"))
-    return wig_plan.merge(rows)
+    """The points of each track and chromosome, rounded to halves, as merged bedGraph records. A NaN is a record of its own, given with a null value; a point without a value ends a run and is none."""
+    value = F.when(F.isnan("value"), F.col("value")).otherwise(F.floor(F.col("value") * 2) / 2)
+    rows = _points(spark, sf_dir).select("at", F.concat_ws("|", "track_id", names.chrom_key(F.col("chrom"))).alias("chrom"), "start", "end", value.alias("value"))
+    return wig_plan.merge(rows).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+def _wig_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points as lines of one file per track, each as bedGraph, variableStep, or fixedStep with its value twice, in turn. Points without a value leave the word none after a declaration."""
+    p, tab = _points(spark, sf_dir).where("value is not null or at % 3 > 0"), lambda *c: F.concat_ws("\t", *[x.cast("string") for x in c])
+    c, s, e, v = F.coalesce("chrom", F.lit("none")), F.col("start"), F.col("end"), F.coalesce(F.col("value").cast("string"), F.lit("none"))
+    c = F.regexp_replace(c, r"\s", "_")
+    kind = F.col("at") % 3
+    step = F.concat(F.lit("fixedStep chrom="), c, F.lit(" start="), (s + 1).cast("string"), F.lit(" step=7 span="), (e - s).cast("string"))
+    lines = F.when(kind == 0, F.array(tab(c, s, e, v))).when(kind == 1, F.array(F.concat(F.lit("variableStep chrom="), c, F.lit(" span="), (e - s).cast("string")), F.concat_ws(" ", (s + 1).cast("string"), v))).otherwise(F.array(step, v, v))
+    rows = p.select(F.col("track_id").alias("file"), F.floor(F.col("at") / 5000).alias("block"), "at", F.posexplode(lines).alias("n", "line"))
+    return rows.select("file", "block", (F.col("at") * 4 + F.col("n")).alias("at"), "line")
+
+
+@query
+def wig_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracks as wiggle text, parsed again; lines that are no points come with their error. A NaN has a null value."""
+    got = wig_source.points(_wig_text(spark, sf_dir))
+    ok = F.col("error").isNull()
+    return got.select(F.col("at").alias("line_no"), "error", *[F.when(ok, F.col(c)).alias(c) for c in ("chrom", "start", "end")], F.when(ok & ~F.isnan("value"), F.col("value")).alias("value"))
+
+
+@query
+def bedgraph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with a value as bedGraph lines."""
+    p = _points(spark, sf_dir).where(F.col("value").isNotNull() & F.col("chrom").isNotNull())
+    return p.select(F.col("at").alias("point_id"), wig_source.bedgraph_line(F.col("chrom"), F.col("start"), F.col("end"), F.col("value")).alias("line"))
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,6 +538,15 @@ def lift_sam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("at").alias("bed_id"), "status", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual", F.array_join("tags", ";").alias("tags"))
 
 
+@query
+def sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads as alignment lines, parsed, converted and written as lines again."""
+    reads = _reads(spark, sf_dir).withColumn("rname", F.coalesce("rname", F.lit("*")))
+    text = reads.select("at", sam_plan.line(reads).alias("line"))
+    done = sam_plan.convert(sam_plan.parsed(text), lifter(spark, sf_dir))
+    return done.select(F.col("at").alias("bed_id"), sam_plan.line(done).alias("line"))
+
+
 @query
 def sam_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = _reads(spark, sf_dir).withColumn("flag0", F.col("flag"))

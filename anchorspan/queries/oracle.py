@@ -56,6 +56,11 @@ SELECT track_id, k AS chrom_key, run_start, max(reach) AS run_end, count(*) AS n
 """,
 }
 
+_RUNS = PROBLEMS["p2_found"].partition("SELECT track_id, k AS chrom_key")[0]
+PROBLEMS["p2_bedgraph"] = f"""{_RUNS}
+SELECT track_id, k AS chrom_key, run_start, max(reach) AS run_end, count(*) AS n_points, min(head) AS run_value, max(reach) - run_start AS duration FROM f WHERE v IS NOT NULL GROUP BY 1, 2, 3
+"""
+
 
 def _bare(f: str) -> str:
     """SQL of a field's value without one pair of quotes around all of it."""
@@ -130,6 +135,7 @@ UNION ALL SELECT a.k, 'chrom_end', CAST(a.e AS VARCHAR), CAST(b.e AS VARCHAR) FR
 UNION ALL SELECT a.k, 'strand', a.d, b.d FROM a JOIN b USING (k) WHERE a.d IS DISTINCT FROM b.d
 """
 PROBLEMS["p3_found"] = P3
+PROBLEMS["p3_loaded"] = P3.replace("c AS (SELECT line_id, CASE", "c AS (SELECT line_id, file_kind, file_name, line_no, f, CASE").replace("SELECT line_id, fault FROM c WHERE fault IS NOT NULL", f"SELECT line_id, file_kind, file_name, line_no, list_transform(list_transform(f, lambda x: replace(x, chr(2), chr(9))), lambda x: {_bare('x')}) AS fields FROM c WHERE fault IS NULL")
 PROBLEMS["p4_found"] = "\nUNION ALL\n".join(
     _packed(*x) for x in (("vcf_records", "vcf_id", "info", True), ("vcf_records", "vcf_id", "alt_alleles", False), ("bed_records", "bed_id", "block_sizes", False), ("gff_records", "gff_id", "gff_attributes", True))
 )

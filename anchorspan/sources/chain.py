@@ -112,19 +112,19 @@ def _text(i: int) -> Column:
 def _header_fault() -> Column:
     n = F.size("f")
     cases = [
-        (n < 12, "InvalidHeader", F.format_string("Expected 12+ fields, got %d", n)),
-        (_text(0) != "chain", "InvalidHeader", F.format_string("Expected 'chain' keyword, got '%s'", _text(0))),
+        (n < 12, "InvalidHeader", F.format_string("a chain header of %d fields, 12 are the least", n)),
+        (_text(0) != "chain", "InvalidHeader", F.concat(F.lit("a chain header that begins with "), _text(0))),
     ]
     for side, group in (("source", HEADER_FIELDS[:6]), ("target", HEADER_FIELDS[6:])):
         for name in group:
             raw = _text(HEADER_FIELDS.index(name) + 1)
             if name in _NUMBERS:
-                cases.append((F.col(name).isNull(), "InvalidNumber", F.concat(F.lit(f"Invalid {name.replace('_', ' ')}: "), raw)))
+                cases.append((F.col(name).isNull(), "InvalidNumber", F.concat(F.lit(f"no number as {name}: "), raw)))
             elif name.endswith("strand"):
-                cases.append((~F.col(name).isin("+", "-"), "InvalidStrand", F.concat(F.lit("Invalid strand: "), F.col(name))))
-        title, s, e, size = side.capitalize(), F.col(f"{side}_start"), F.col(f"{side}_end"), F.col(f"{side}_size")
-        cases.append((s > e, "InvalidCoordinates", F.format_string(f"{title} start (%d) > {side} end (%d)", s, e)))
-        cases.append((e > size, "InvalidCoordinates", F.format_string(f"{title} end (%d) > {side} size (%d)", e, size)))
+                cases.append((~F.col(name).isin("+", "-"), "InvalidStrand", F.concat(F.lit(f"no strand as {name}: "), F.col(name))))
+        s, e, size = F.col(f"{side}_start"), F.col(f"{side}_end"), F.col(f"{side}_size")
+        cases.append((s > e, "InvalidCoordinates", F.format_string(f"{side} begins at %d, behind its end %d", s, e)))
+        cases.append((e > size, "InvalidCoordinates", F.format_string(f"{side} ends at %d, beyond its sequence of %d", e, size)))
     return _first(cases)
 
 
@@ -132,11 +132,11 @@ def _data_fault() -> Column:
     n = F.size("f")
     return _first(
         [
-            (~n.isin(1, 3), "InvalidDataLine", F.format_string("Expected 1 or 3 fields, got %d", n)),
-            (F.col("size").isNull(), "InvalidNumber", F.concat(F.lit("Invalid block size: "), _text(0))),
-            (F.col("size") == 0, "InvalidDataLine", F.lit("Block size must be greater than 0")),
-            (F.col("dt").isNull(), "InvalidNumber", F.concat(F.lit("Invalid source gap (dt): "), _text(1))),
-            (F.col("dq").isNull(), "InvalidNumber", F.concat(F.lit("Invalid target gap (dq): "), _text(2))),
+            (~n.isin(1, 3), "InvalidDataLine", F.format_string("a line of %d numbers, one or three make a block", n)),
+            (F.col("size").isNull(), "InvalidNumber", F.concat(F.lit("no number as size of a block: "), _text(0))),
+            (F.col("size") == 0, "InvalidDataLine", F.lit("a block without a base")),
+            (F.col("dt").isNull(), "InvalidNumber", F.concat(F.lit("no number as gap of the source: "), _text(1))),
+            (F.col("dq").isNull(), "InvalidNumber", F.concat(F.lit("no number as gap of the target: "), _text(2))),
         ]
     )
 
@@ -170,10 +170,15 @@ def load(lines: DataFrame, strict: bool = True) -> ChainFile:
         check(headers, data)
     headers = headers.where(F.col("error").isNull()).select("path", "chain_seq", "line_no", "chain_id", *HEADER_FIELDS)
     data = data.where(F.col("error").isNull()).select("path", "chain_seq", "line_no", F.col("line_no").alias("block_no"), "size", "dt", "dq")
-    sides = [headers.select(F.lit(s).alias("side"), F.col(f"{s}_name").alias("chrom"), F.col(f"{s}_size").alias("size"), "path", "line_no") for s in ("source", "target")]
-    sizes = sides[0].unionByName(sides[1]).groupBy("side", "chrom").agg(F.max_by("size", F.struct("path", "line_no")).alias("size"))
     joined = data.join(headers.drop("line_no"), ["path", "chain_seq"])
-    return ChainFile(headers, blocks(joined, ["path", "chain_seq"], F.struct("path", "line_no")), sizes)
+    place = F.struct("path", "line_no")
+    return ChainFile(headers, blocks(joined, ["path", "chain_seq"], place), sizes(headers, place))
+
+
+def sizes(headers: DataFrame, order: Column) -> DataFrame:
+    """(side, chrom, size) of headers (source_name, source_size, target_name, target_size): of a name's headers the last in order holds."""
+    sides = [headers.select(F.lit(s).alias("side"), F.col(f"{s}_name").alias("chrom"), F.col(f"{s}_size").alias("size"), order.alias("place")) for s in ("source", "target")]
+    return sides[0].unionByName(sides[1]).groupBy("side", "chrom").agg(F.max_by("size", "place").alias("size"))
 
 
 def blocks(joined: DataFrame, chain: list[str], block_id: Column) -> DataFrame:
