@@ -1,19 +1,24 @@
 """Per-document text statistics, and the kind of a text: prose, list, table or junk.
 
-Each line of a text gets a shape from what it is made of and from its neighbours; the shares of the shapes by non-blank
-characters join the word and sign statistics of the document. Gradient-boosted trees on these statistics are trained on
-weakly labelled texts: documents that are of one kind nearly throughout by their shapes, and texts put together from two
-of them, labelled by the larger part. Their probabilities are calibrated on a hand-checked holdout.
+Gradient-boosted trees see statistics of the lines of a text, of the lines around them and of the document (linestats): what
+characters, words, separators and gaps they are made of. A text is of the kind that the larger part of its non-blank characters
+is, by the trees' probabilities of its lines.
+
+The trees learn from weakly labelled texts. Labels come from elsewhere than from these statistics: one labeller reads the
+shapes of lines by rules (Lines) and labels a text that is of one kind nearly throughout, another one asks prose for ends of
+sentences, and a text on which they disagree is left out. Texts made up as lists, tables, junk or prose out of the words of
+the sample join them, their kind being known, and texts put together from two of all these keep the label of each line's source. The probabilities are calibrated on hand-checked texts and mixtures of them; of these only every second is
+used to fit, and the calibration error is that of the others.
 
 The sample for training is bounded by ``fit_rows`` and chosen by a hash of the id; every document is scored whole.
 
 Defined results: a null, empty or blank text has zero words and lines, null means and shares, and is no case of any
-kind; common words are compared without case over all languages given; repeated rows give repeated rows.
+kind; common words are compared without case over all languages given; repeated rows give repeated rows. The context of a
+line is its document, or of a text of more than linestats.SLICE characters the stretch of so many that it lies in.
 """
 
 from __future__ import annotations
 
-import math
 import pickle
 import re
 from collections import Counter
@@ -25,14 +30,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorspan.llm.boosting import BoostedTrees
+from anchorspan.llm import generated, linestats
+from anchorspan.llm.boosting import BoostedTrees, softmax
 from anchorspan.session import ship
 
 KINDS = ["prose", "list", "table", "junk"]
 #: Rows of the training sample, the longest text in it (in characters), and texts put together from two of its rows.
-FIT_ROWS, FIT_CHARS, MIXED = 2000, 20_000, 1500
-#: The most common words that are taken as one array.
-MAX_COMMON = 5_000
+FIT_ROWS, FIT_CHARS, MIXED = 2000, 20_000, 800
+#: Texts made up of each kind out of the words of the sample.
+GENERATED = 150
+#: Lines that the trees learn from of one text of prose, and of one of another kind, which are fewer.
+FIT_LINES = (3, 10)
+#: Common words that are taken as one array in the plan; more are joined.
+LISTED_COMMON = 5_000
 
 # Marks of list entries, and parts of junk.
 BULLET = re.compile(r"\s*(?:[-*•–—+·‣▪◦○●■□✓✔]|->|=>|→|\[[ xX✓]?\]|\(?[0-9]{1,3}[.):]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}[.)])\s{1,4}(?=\S)")
@@ -54,34 +64,22 @@ OTHER_SIGN = re.compile(r"[|<{~^\ufffdÃâ]")
 WORD_ASCII = re.compile(r"[a-z0-9]+(?:'[a-z0-9]+)*")
 ODD_INSIDE = re.compile(r"[^\W\d_][!;|:#~^$%&*=<>?@{}\[\]\\]+[^\W_]|^[!;|:#~^$%&*=?@{}\\]+[^\W_]|[^\W_][!|#~^$%&*=@{}\\]+$")
 VOWEL = re.compile(r"[aeiouyáéíóúàèìòùâêîôûäëïöüåæøœãõаеёиоуыэюя]", re.I)
-_LATIN = [chr(i) for i in range(256)]
-_DIGIT = np.array([c.isdigit() for c in _LATIN])
-_UPPER = np.array([c.isupper() for c in _LATIN])
-_VOWELS = np.array([VOWEL.match(c) is not None for c in _LATIN])
 PROSE, ITEM, BARE, ROW, JUNK, SHORT = range(6)
 SHAPES = ["prose", "item", "bare", "row", "junk", "short"]
-FEATURES = [
-    *[f"share_{s}" for s in SHAPES], "list_over_prose", "table_over_prose", "junk_over_prose", "words", "mean_word", "symbol_ratio", "digit_ratio", "end_share", "common_share", "distinct_share",
-    "lines", "mean_line", "line_spread", "upper_ratio", "vowel_ratio", "no_letter_ratio", "longest_word", "odd_words", "repeat_share", "bullet_share", "tab_ratio", "pipe_ratio", "blob_share", "mean_sentence",
-]
-
-
 def common_set(common_words: DataFrame) -> list[str]:
-    """The common words in lower case, sorted. A list of function words is small; more than MAX_COMMON raise ValueError."""
-    words = common_words.select(F.lower("word").alias("w")).where(F.col("w").isNotNull()).distinct()
-    listed = sorted(r[0] for r in words.limit(MAX_COMMON + 1).collect())
-    if len(listed) > MAX_COMMON:
-        raise ValueError(f"more than {MAX_COMMON} common words")
-    return listed
+    """The common words in lower case, sorted: a list of function words, which every worker has as a whole."""
+    return sorted(r[0] for r in common_words.select(F.lower("word").alias("w")).where(F.col("w").isNotNull()).distinct().collect())
 
 
-def document_stats(docs: DataFrame, common_words: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def document_stats(docs: DataFrame, common_words: DataFrame, id_column: str = "doc_id", text_column: str = "text", listed_common: int = LISTED_COMMON) -> DataFrame:
     """(id, n_words, mean_word_length, symbol_ratio, end_punct_share, common_share) by JVM-side expressions alone.
 
     Words are maximal runs of letters and digits; symbols are non-blank characters that are neither; a line counts if it
-    has a non-blank character. The common words are one array in the plan: a table of fixed small size.
+    has a non-blank character. Up to listed_common common words are one array in the plan; more are joined to the distinct words of
+    each text, which gives the same.
     """
-    listed = common_set(common_words)
+    known = common_words.select(F.lower("word").alias("common_word")).where(F.col("common_word").isNotNull()).distinct()
+    listed = sorted(r[0] for r in known.limit(listed_common + 1).collect())
     text = F.col(text_column)
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     rows = docs.select(id_column, text_column, F.coalesce(words, F.array().cast("array<string>")).alias("w"))
@@ -95,10 +93,14 @@ def document_stats(docs: DataFrame, common_words: DataFrame, id_column: str = "d
     bare_text = F.length(F.regexp_replace(F.regexp_replace(text, r"(?U)\s", ""), r"[\p{L}\p{N}]", ""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"(?U)\S"))
     ended = F.filter(lines, lambda x: x.rlike(r"(?U)[.!?…:;,\"”»]\s*\z"))
-    return rows.select(
-        id_column, n.cast("bigint").alias("n_words"), share(letters, n).alias("mean_word_length"), share(bare_text, visible).alias("symbol_ratio"),
-        share(F.size(ended), F.size(lines)).alias("end_punct_share"), share(F.size(F.filter("w", lambda x: x.isin(listed) if listed else F.lit(False))), n).alias("common_share"),
-    )
+    columns = [id_column, n.cast("bigint").alias("n_words"), share(letters, n).alias("mean_word_length"), share(bare_text, visible).alias("symbol_ratio"), share(F.size(ended), F.size(lines)).alias("end_punct_share")]
+    if len(listed) <= listed_common:
+        return rows.select(*columns, share(F.size(F.filter("w", lambda x: x.isin(listed) if listed else F.lit(False))), n).alias("common_share"))
+    # Rows are told apart by a digest of their words, for ids may repeat: rows of equal words have equal counts.
+    marked = rows.withColumn("_key", F.sha2(F.array_join("w", " "), 256))
+    one = marked.groupBy("_key").agg(F.first("w").alias("w")).select("_key", F.explode("w").alias("common_word")).groupBy("_key", "common_word").agg(F.count(F.lit(1)).alias("n"))
+    found = one.join(known, "common_word").groupBy("_key").agg(F.sum("n").alias("_found"))
+    return marked.join(found, "_key", "left").select(*columns, share(F.coalesce("_found", F.lit(0)), n).alias("common_share"))
 
 
 def _cells(line: str) -> tuple[str, int] | None:
@@ -284,81 +286,141 @@ class Lines:
         return shape
 
 
-def features(text: str | None, common: frozenset[str]) -> list[float]:
-    """The statistics of one text in the order of FEATURES. A blank text gives zeros."""
-    if not text or not text.strip():
-        return [0.0] * len(FEATURES)
+def shape_shares(text: str, common: frozenset[str]) -> list[float]:
+    """The shares of SHAPES in a text by non-blank characters."""
     got = Lines(text, common)
-    total = sum(got.visible)
-    parts = [0.0] * len(SHAPES)
+    total, parts = sum(got.visible), [0.0] * len(SHAPES)
     for s, v in zip(got.shape, got.visible, strict=True):
         parts[s] += v / total
-    words = [w for ws in got.words for w in ws]
-    n, joined = len(words), "".join(words)
-    letters = len(joined)
-    signs = np.bincount(np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8), minlength=256)
-    digits = int(signs[_DIGIT].sum())
-    alphas = max(1, letters - digits)
-    sizes = [len(x) for x in got.lines]
-    mean = sum(sizes) / len(sizes)
-    ends = len([1 for x in got.lines if x.rstrip()[-1] in ".!?…:;,"])
-    prose = parts[PROSE]
-    sentences = text.count(". ") + text.count("! ") + text.count("? ") + text.count("… ") + text.count(".\n")
-    return [
-        *parts, parts[ITEM] + parts[BARE] - prose, parts[ROW] - prose, parts[JUNK] - prose, math.log1p(n), letters / n if n else 0.0, (total - letters) / total, digits / total,
-        ends / len(sizes), sum(map(common.__contains__, words)) / n if n else 0.0, len(set(words)) / n if n else 0.0,
-        math.log1p(len(sizes)), math.log1p(mean), math.sqrt(sum([(x - mean) ** 2 for x in sizes]) / len(sizes)) / mean, int(signs[_UPPER].sum()) / alphas, int(signs[_VOWELS].sum()) / alphas,
-        got.words.count([]) / len(sizes), math.log1p(max(map(len, words), default=0)), got.odd / total, 1 - len(set(zip(words, words[1:], strict=False))) / n if n else 0.0, (len(sizes) - got.bullets.count(None)) / len(sizes),
-        text.count("\t") / len(text), text.count("|") / len(text), got.blobs / total, math.log1p(n / (sentences + 1)),
-    ]
-
-
-def weak_label(x: list[float]) -> int | None:
-    """The kind of a text that is of one kind nearly throughout, else None."""
-    prose, item, bare, row, junk, _ = x[:6]
-    for kind, share in enumerate((prose, item + bare, row, junk)):
-        if share >= 0.95:
-            return kind
-    return None
+    return parts
+
+
+def weak_label(text: str | None, common: frozenset[str]) -> int | None:
+    """The kind of a text that is of one kind nearly throughout by the shapes of its lines, unless it is prose without ends of sentences; else None."""
+    if not text or not text.strip():
+        return None
+    prose, item, bare, row, junk, _ = shape_shares(text, common)
+    kind = next((k for k, share in enumerate((prose, item + bare, row, junk)) if share >= 0.95), None)
+    if kind == 0 and 60 * len(SENTENCE.findall(text)) < len(text.split()):
+        return None
+    return kind
+
+
+SENTENCE = re.compile(r"[.!?…](?=[\s\"”»)\]]|$)|[。！？]")
+
+
+def _lines(text: str) -> list[str]:
+    return [x for x in re.split(r"[\n\r]", text) if x.strip()]
+
+
+def _stretches(text: str) -> list[str]:
+    """The text, cut at line ends into stretches of linestats.SLICE characters at most; a longer line is cut, too."""
+    out, begin = [], 0
+    while len(text) - begin > linestats.SLICE:
+        cut = text.rfind("\n", begin, begin + linestats.SLICE) + 1
+        out.append(text[begin : cut if cut > begin else begin + linestats.SLICE])
+        begin += len(out[-1])
+    return [*out, text[begin:]]
+
+
+class TextKinds:
+    """Trees on line statistics, the common words as hashes, and the temperature of the probabilities."""
+
+    def __init__(self, trees: BoostedTrees, common: Iterable[str]):
+        self.trees, self.common, self.temperature, self.error = trees, linestats.common_hashes(common), 1.0, None
+
+    def shares(self, texts: list[str]) -> np.ndarray:
+        """The shares of KINDS in each non-blank text, by non-blank characters and the trees' probabilities of its lines."""
+        parts, owner = [], []
+        for i, t in enumerate(texts):
+            cut = _stretches(t)
+            parts += cut
+            owner += [i] * len(cut)
+        out = np.zeros((len(texts), len(KINDS)))
+        for lo, hi in linestats.slices(parts):
+            x, part, visible, _ = linestats.line_statistics(parts[lo:hi], self.common)
+            p = softmax(self.trees.scores(x)) * visible[:, None]
+            of = np.array(owner[lo:hi], dtype=np.int64)[part]
+            for k in range(len(KINDS)):
+                out[:, k] += np.bincount(of, weights=p[:, k], minlength=len(texts))
+        return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-300)
+
+    def probabilities(self, texts: list[str]) -> np.ndarray:
+        return softmax(np.log(self.shares(texts) + 1e-3) / self.temperature)
+
+    def calibrate(self, texts: list[str], kinds: np.ndarray) -> TextKinds:
+        """Sets the temperature of least log loss on every second text, and ``error``, the calibration error on the others."""
+        scores = np.log(self.shares(texts) + 1e-3)
+        fit, rest = np.arange(len(texts)) % 2 == 0, np.arange(len(texts)) % 2 == 1
+        grid = np.exp(np.linspace(np.log(0.1), np.log(10), 81))
+        loss = [-np.log(np.maximum(softmax(scores[fit] / t)[np.arange(fit.sum()), kinds[fit]], 1e-12)).mean() for t in grid]
+        self.temperature = float(grid[int(np.argmin(loss))])
+        self.error = calibration_error(softmax(scores[rest] / self.temperature), kinds[rest])
+        return self
+
+
+def calibration_error(p: np.ndarray, kinds: np.ndarray, bins: int = 5) -> float:
+    """How far the probability of the kind chosen lies from how often it is right, as a mean over bins by their texts."""
+    top, right = p.max(axis=1), p.argmax(axis=1) == kinds
+    place = np.minimum((top * bins).astype(int), bins - 1)
+    return float(sum(abs(top[place == b].mean() - right[place == b].mean()) * (place == b).mean() for b in range(bins) if (place == b).any()))
+
+
+def mixtures(texts: list[tuple[str, int]], count: int, seed: int) -> list[list[tuple[str, int]]]:
+    """Texts put together from two: (lines, kind) of a part of prose and of a part of another kind, either one first."""
+    rng = np.random.default_rng(seed)
+    by = {k: [t for t, kind in texts if kind == k] for k in range(len(KINDS))}
+    others = [k for k in range(1, len(KINDS)) if by[k]]
+    out = []
+    for _ in range(count if by[0] and others else 0):
+        k = int(rng.choice(others))
+        a, b = (_lines(by[j][int(rng.integers(len(by[j])))]) for j in (0, k))
+        a, b = a[: int(rng.integers(1, len(a) + 1)) if rng.random() < 0.5 else 1], b[: int(rng.integers(1, len(b) + 1))]
+        parts = [("\n".join(a), 0), ("\n".join(b), k)]
+        out.append(parts if rng.random() < 0.75 else parts[::-1])
+    return out
 
 
 def _size(text: str) -> int:
     return len("".join(text.split()))
 
 
-def train(texts: Iterable[str], common: frozenset[str], holdout: Iterable[tuple[str, str]], mixed: int = MIXED, seed: int = 7) -> BoostedTrees:
-    """Trees on the weakly labelled texts and on mixtures of two of them, calibrated on the (text, kind) pairs of holdout."""
+def calibration_texts(holdout: Iterable[tuple[str, str]], mixed: int = 300, seed: int = 11) -> tuple[list[str], np.ndarray]:
+    """The hand-checked texts and mixtures of them, with the kind of the larger part; where no part is clearly larger, the mixture is left out."""
     held = [(t, KINDS.index(k)) for t, k in holdout]
-    rows, labels, pure = [], [], {k: [] for k in range(len(KINDS))}
-    for text in texts:
-        x = features(text, common)
-        label = weak_label(x)
-        if label is not None:
-            rows.append(x)
-            labels.append(label)
-            pure[label].append(text)
-    rng = np.random.default_rng(seed)
-    kinds = [k for k in range(1, len(KINDS)) if pure[k]]
-    for _ in range(mixed if pure[0] and kinds else 0):
-        k = int(rng.choice(kinds))
-        a, b = (pure[j][int(rng.integers(len(pure[j])))] for j in (0, k))
-        la, lb = a.split("\n"), b.split("\n")
-        la, lb = la[: int(rng.integers(1, len(la) + 1))], lb[: int(rng.integers(1, len(lb) + 1))]
-        a, b = "\n".join(la), "\n".join(lb)
-        if not a.strip() or not b.strip() or weak_label(features(a, common)) != 0 or weak_label(features(b, common)) != k:
-            continue
-        if not 0.15 < _size(a) / (_size(a) + _size(b)) < 0.85:
-            continue
-        rows.append(features("\n".join((a, b) if rng.random() < 0.8 else (b, a)), common))
-        labels.append(0 if _size(a) > _size(b) else k)
-    for text, kind in held if not rows or len(set(labels)) < 2 else []:  # nothing to learn from: the holdout alone
-        rows.append(features(text, common))
-        labels.append(kind)
-    model = BoostedTrees(len(KINDS)).fit(np.array(rows), np.array(labels))
-    return model.calibrate(np.array([features(t, common) for t, _ in held]), np.array([k for _, k in held]))
-
-
-def fit_model(docs: DataFrame, common: frozenset[str], holdout: Iterable[tuple[str, str]], fit_rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text") -> BoostedTrees:
+    made = [(p, [_size(t) for t, _ in p]) for p in mixtures(held, mixed, seed)]
+    clear = [("\n".join(t for t, _ in p), p[int(np.argmax(n))][1]) for p, n in made if max(n) >= 0.53 * sum(n)]
+    texts = held + clear
+    return [t for t, _ in texts], np.array([k for _, k in texts])
+
+
+def train(texts: Iterable[str], common: frozenset[str], holdout: Iterable[tuple[str, str]], mixed: int = MIXED, seed: int = 7) -> TextKinds:
+    """Trees on the lines of weakly labelled texts and of mixtures of them, calibrated on the (text, kind) pairs of holdout."""
+    holdout = list(holdout)
+    pure = [(t, k) for t in texts if (k := weak_label(t, common)) is not None]
+    if len({k for _, k in pure}) < 2:  # nothing to learn from: the holdout alone
+        pure = [(t, KINDS.index(k)) for t, k in holdout]
+    pure += [(t, k) for t, k in generated.texts([t for t, k in pure if k == 0], GENERATED, seed) if t.strip()]
+    made = [[x] for x in pure] + mixtures(pure, mixed, seed)
+    lines = [[(line, k) for t, k in parts for line in _lines(t)] for parts in made]
+    hashes, rng = linestats.common_hashes(common), np.random.default_rng(seed)
+    joined, rows, labels = ["\n".join(x for x, _ in doc) for doc in lines], [], []
+    for lo, hi in linestats.slices(joined):
+        x, _, _, _ = linestats.line_statistics(joined[lo:hi], hashes)
+        kinds = np.array([k for doc in lines[lo:hi] for _, k in doc])
+        owner = np.repeat(np.arange(hi - lo), [len(doc) for doc in lines[lo:hi]])
+        order = np.lexsort((rng.random(len(x)), kinds > 0, owner))
+        group = owner[order] * 2 + (kinds[order] > 0)
+        firsts = np.flatnonzero(np.diff(group, prepend=-1))
+        place = np.arange(len(order)) - np.repeat(firsts, np.diff(np.append(firsts, len(order))))
+        chosen = order[place < np.where(kinds[order] > 0, FIT_LINES[1], FIT_LINES[0])]
+        rows.append(x[chosen])
+        labels.append(kinds[chosen])
+    trees = BoostedTrees(len(KINDS), rounds=30, depth=4).fit(np.concatenate(rows), np.concatenate(labels))
+    return TextKinds(trees, common).calibrate(*calibration_texts(holdout))
+
+
+def fit_model(docs: DataFrame, common: frozenset[str], holdout: Iterable[tuple[str, str]], fit_rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text") -> TextKinds:
     """Trains on about ``fit_rows`` texts of at most FIT_CHARS characters, twice as many at most, chosen by a hash of the id.
 
     The share of hashes taken follows from the count of rows, so what the tasks send to the driver has a fixed size.
@@ -370,20 +432,19 @@ def fit_model(docs: DataFrame, common: frozenset[str], holdout: Iterable[tuple[s
     return train(sample, common, holdout)
 
 
-def classify(docs: DataFrame, common: frozenset[str], model: BoostedTrees, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def classify(docs: DataFrame, model: TextKinds, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, text_kind, probability) of every document with a non-blank text. Row by row, without a shuffle."""
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((model, common)))
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, common = pickle.loads(sent.value)
+        model = pickle.loads(sent.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             kept = [i for i, t in enumerate(texts) if t and t.strip()]
-            p = model.probabilities(np.array([features(texts[i], common) for i in kept])) if kept else np.zeros((0, len(KINDS)))
+            p = model.probabilities([texts[i] for i in kept]) if kept else np.zeros((0, len(KINDS)))
             kinds = [KINDS[k] for k in p.argmax(axis=1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, type=pa.int64())), pa.array(kinds, type=pa.string()), pa.array(p.max(axis=1))], names=[id_column, "text_kind", "probability"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, text_kind string, probability double")
-

@@ -42,7 +42,7 @@ def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind of every non-blank text with its calibrated probability."""
     docs = table(spark, sf_dir, "documents")
     common = frozenset(quality.common_set(table(spark, sf_dir, "common_words")))
-    return quality.classify(docs, common, quality.fit_model(docs, common, HOLDOUT))
+    return quality.classify(docs, quality.fit_model(docs, common, HOLDOUT))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
