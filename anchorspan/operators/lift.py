@@ -174,7 +174,7 @@ class Lifter:
     def __init__(self, blocks: DataFrame, style: str = "a", *, max_sent: int = MAX_SENT, width: int = BIN, compat_mode: str = "improved"):
         self.blocks, self.style, self.width, self.compat_mode = blocks, names.parse_style(style), width, compat_mode
         self.spark: SparkSession = blocks.sparkSession
-        self.sent = None
+        self.sent, self._names = None, None
         ship(self.spark)
         rows = blocks.limit(max(0, max_sent) + 1).toArrow()  # counted and taken in one job
         if rows.num_rows <= max_sent:
@@ -223,7 +223,7 @@ class Lifter:
         if self.sent is not None:
             return records.withColumn(name, self.segments(chrom, start, end, strand))
         keyed = records.select(rid, chrom.alias("q_chrom"), start.cast("bigint").alias("q_start"), end.cast("bigint").alias("q_end"), strand.cast("string").alias("q_strand"))
-        names_known = ChainNames(self.blocks)
+        names_known = self._names = self._names or ChainNames(self.blocks)
         rows = lift_join(keyed, self.blocks, self.style, self.width, known=names_known)
         order = ["s_start0", "s_end0", "block_id"]
         parts = ["s_start", "s_end", "t_chrom", "t_start", "t_end", "t_strand"]

@@ -140,8 +140,7 @@ def collapse_runs(
     earlier = F.max("end").over(Window.partitionBy(*names).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     markers = reach.select(*names, "chunk", F.lit(True).alias("marker"), F.lit(0).cast("bigint").alias("id"), (F.col("chunk") * chunk).alias("start"), earlier.alias("end"), F.lit(None).cast("double").alias("value"))
     markers = markers.where(F.col("end") >= F.col("start"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.unionByName(markers).repartition(n, *names, "chunk").sortWithinPartitions(*names, "chunk", F.col("marker").desc(), "start", "id")
+    placed = rows.unionByName(markers).repartition(*names, "chunk").sortWithinPartitions(*names, "chunk", F.col("marker").desc(), "start", "id")
 
     def differs(block: pd.DataFrame, columns: list[str]) -> np.ndarray:
         """Whether a row differs from the one before it in any of the columns."""
@@ -183,7 +182,7 @@ def collapse_runs(
     run = [T.StructField("value", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in ("run_start", "run_end", "n_points")]]
     found = placed.mapInPandas(find, T.StructType([*keys, T.StructField("chunk", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("kind", T.IntegerType()), *run]))
     place = F.when(F.col("kind") == FINAL, F.col("chunk")).otherwise(-1)
-    gathered = found.withColumn("place", place).repartition(n, *names, "place").sortWithinPartitions(*names, "place", "chunk", "ord")
+    gathered = found.withColumn("place", place).repartition(*names, "place").sortWithinPartitions(*names, "place", "chunk", "ord")
     columns = [*names, "value", "run_start", "run_end", "n_points"]
 
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

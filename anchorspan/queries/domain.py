@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,13 +16,15 @@ from anchorspan.operators import lift
 from anchorspan.operators.intervals import intersect, interval_join
 from anchorspan.operators.lift import Lifter
 from anchorspan.plans import bed as bed_plan
+from anchorspan.plans import files
 from anchorspan.plans import gff as gff_plan
 from anchorspan.plans import maf as maf_plan
 from anchorspan.plans import region as region_plan
 from anchorspan.plans import sam as sam_plan
 from anchorspan.plans import vcf as vcf_plan
 from anchorspan.plans import wig as wig_plan
-from anchorspan.sources import chain, fasta
+from anchorspan.sources import binary, chain, fasta, sink
+from anchorspan.sources import lines as text_lines
 from anchorspan.sources import wig as wig_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -553,6 +557,43 @@ def sam_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sam_plan.stats(sam_plan.convert(reads, lifter(spark, sf_dir)), "flag0")
 
 
+# ---- files --------------------------------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one that the session names; one of this machine only where none is named, as in tests."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/anchorspan-{uuid.uuid4().hex}"
+
+
+def _file(rows: DataFrame, order: str, path: str, head: list[str] = ()) -> str:
+    """Writes the column ``line`` as one file, in order."""
+    first = rows.sparkSession.createDataFrame([(i - len(head), x) for i, x in enumerate(head)], "at bigint, line string")
+    lines = rows.select(F.col(order).cast("bigint").alias("at"), "line").unionByName(first).withColumn("side", F.lit("mapped"))
+    sink.write_lines(lines, ["at"], {"mapped": path})
+    return path
+
+
+@query
+def file_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BED records through files: chain and records are written, the file is converted to one file and one of rejects, and both are read."""
+    at = _scratch(spark)
+    files.convert_bed(spark, _file(_chain_lines(spark, sf_dir), "line_no", f"{at}/a.chain"), _file(bed_lines(spark, sf_dir), "at", f"{at}/in.bed"), f"{at}/out.bed")
+    sides = {"mapped": f"{at}/out.bed", "unmapped": f"{at}/out.bed.unmap"}
+    return reduce(DataFrame.unionByName, [text_lines.read(spark, p).select(F.lit(s).alias("side"), "line") for s, p in sides.items()])
+
+
+@query
+def file_bam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads through files: alignment text is converted to a BAM file, which is read in splits."""
+    at = _scratch(spark)
+    reads = _reads(spark, sf_dir).withColumn("rname", F.coalesce("rname", F.lit("*")))
+    text = reads.select("at", sam_plan.line(reads).alias("line"))
+    files.convert_alignments(spark, _file(_chain_lines(spark, sf_dir), "line_no", f"{at}/a.chain"), _file(text, "at", f"{at}/in.sam", ["@HD\tVN:1.0"]), f"{at}/out.bam")
+    binary.register(spark)
+    got = spark.read.format("bam").option("splitBytes", 100_000).load(f"{at}/out.bam")
+    return got.select(sam_plan.line(got).alias("line"))
+
+
 # ---- checks of one result against another -------------------------------------------------------------------------
 
 

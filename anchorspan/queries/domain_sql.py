@@ -285,4 +285,7 @@ SELECT name, CAST(k AS BIGINT) AS chunk_no, substr(seq, CAST(k * 50 + 1 AS INTEG
     "accuracy_compare": f"{PAIRED} SELECT CASE WHEN bk IS NULL THEN 'missing' WHEN c IS NOT DISTINCT FROM bc AND s IS NOT DISTINCT FROM bs AND e IS NOT DISTINCT FROM be THEN 'identical' WHEN c IS NOT DISTINCT FROM bc AND s < be AND e > bs THEN 'partial' ELSE 'mismatch' END AS kind, count(*) AS n_records FROM j GROUP BY 1",
     "drift_buckets": f"{PAIRED} SELECT CASE WHEN abs(s - bs) = 0 THEN '0' WHEN abs(s - bs) = 1 THEN '1' WHEN abs(s - bs) <= 100 THEN '2-100' WHEN abs(s - bs) > 100 THEN '>100' ELSE 'unknown' END AS drift, count(*) AS n_records FROM j WHERE bk IS NOT NULL AND c = bc GROUP BY 1",
 }
+SQL["file_bed"] = f"{BED_OUT} SELECT CASE WHEN status = 'unmapped' THEN 'unmapped' ELSE 'mapped' END AS side, line FROM out"
+#: Through a file, a read on a sequence that the header lacks fails, and bases have one case.
+SQL["file_bam"] = SQL["sam_lines"].replace("WHEN s.rid IS NULL THEN", "WHEN s.rid IS NULL OR t_chrom NOT IN (SELECT q_name FROM chain_headers) THEN").replace("ELSE seq0 END, CASE WHEN ok AND turned", "ELSE upper(seq0) END, CASE WHEN ok AND turned").replace("SELECT bed_id, concat_ws", "SELECT concat_ws")
 SQL["lift_segments_join"] = SQL["lift_segments"]

@@ -25,7 +25,7 @@ class Target:
     def __init__(self, spark: SparkSession, path: str):
         hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
         local = hadoop.fs.FileSystem.getDefaultUri(conf).getScheme() == "file"
-        if local and not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        if local and not path.startswith("/") and not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
             path = os.path.abspath(path)
         self.hadoop, self.path = hadoop, hadoop.fs.Path(path)
         fs = self.path.getFileSystem(conf)
