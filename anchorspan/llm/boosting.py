@@ -29,10 +29,10 @@ class Tree:
 
 
 class BoostedTrees:
-    """fit(x, y) with classes 0..k-1. Deterministic: no sampling of rows or features."""
+    """fit(x, y) with classes 0..k-1. Deterministic: rows are not sampled, and every step-th feature goes to a tree, another one first each time."""
 
-    def __init__(self, classes: int, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, ridge: float = 1.0):
-        self.classes, self.rounds, self.depth, self.rate, self.bins, self.ridge = classes, rounds, depth, rate, bins, ridge
+    def __init__(self, classes: int, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, ridge: float = 1.0, step: int = 1):
+        self.classes, self.rounds, self.depth, self.rate, self.bins, self.ridge, self.step = classes, rounds, depth, rate, bins, ridge, step
         self.trees: list[list[Tree]] = []
         self.temperature = 1.0
 
@@ -44,34 +44,37 @@ class BoostedTrees:
         prior = np.log(np.maximum(onehot.mean(axis=0), 1e-6))
         self.prior = prior
         scores = np.tile(prior, (len(x), 1))
-        for _ in range(self.rounds):
+        for turn in range(self.rounds):
             p = softmax(scores)
             layer = []
             for k in range(self.classes):
-                tree, leaf = self._grow(binned, cuts, p[:, k] - onehot[:, k], np.maximum(p[:, k] * (1 - p[:, k]), 1e-9))
+                tree, leaf = self._grow(binned, cuts, range((turn + k) % self.step, len(cuts), self.step), p[:, k] - onehot[:, k], np.maximum(p[:, k] * (1 - p[:, k]), 1e-9))
                 layer.append(tree)
                 scores[:, k] += tree.value[leaf]
             self.trees.append(layer)
         return self
 
-    def _grow(self, binned: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray) -> tuple[Tree, np.ndarray]:
-        n, f = binned.shape
+    def _grow(self, binned: np.ndarray, cuts: list[np.ndarray], used: range, g: np.ndarray, h: np.ndarray) -> tuple[Tree, np.ndarray]:
+        n, f = len(binned), len(used)
         width = self.bins + 1
+        base = binned[:, used.start :: used.step] + np.arange(f) * width
+        weights = [np.repeat(w, f) for w in (g, h)]
         inner = (1 << self.depth) - 1
         feature, threshold = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
         node = np.zeros(n, dtype=np.int64)
         for level in range(self.depth):
             first, count = (1 << level) - 1, 1 << level
-            place = ((node - first)[:, None] * f + np.arange(f)) * width + binned
+            place = (base + ((node - first) * f * width)[:, None]).ravel()
             shape = (count, f, width)
-            hist = [np.bincount(place.ravel(), weights=np.repeat(w, f), minlength=count * f * width).reshape(shape).cumsum(axis=2) for w in (g, h)]
+            hist = [np.bincount(place, weights=w, minlength=count * f * width).reshape(shape).cumsum(axis=2) for w in weights]
             gl, hl = hist
             gt, ht = gl[:, :, -1:], hl[:, :, -1:]
             gain = gl**2 / (hl + self.ridge) + (gt - gl) ** 2 / (ht - hl + self.ridge) - gt**2 / (ht + self.ridge)
             for i in range(count):
                 best = int(np.argmax(np.where(gain[i] > 1e-9, gain[i], 0)))
-                j, b = divmod(best, width)
-                if gain[i, j, b] > 1e-9 and b < len(cuts[j]):
+                of, b = divmod(best, width)
+                j = used[of]
+                if gain[i, of, b] > 1e-9 and b < len(cuts[j]):
                     feature[first + i], threshold[first + i] = j, cuts[j][b]
             cut_bin = np.array([np.searchsorted(cuts[j], t) if np.isfinite(t) else width for j, t in zip(feature, threshold, strict=True)])
             node = 2 * node + 1 + (binned[np.arange(n), feature[node]] > cut_bin[node])

@@ -36,11 +36,11 @@ from anchorspan.session import ship
 
 KINDS = ["prose", "list", "table", "junk"]
 #: Rows of the training sample, the longest text in it (in characters), and texts put together from two of its rows.
-FIT_ROWS, FIT_CHARS, MIXED = 2000, 20_000, 800
+FIT_ROWS, FIT_CHARS, MIXED = 2000, 20_000, 600
 #: Texts made up of each kind out of the words of the sample.
-GENERATED = 150
+GENERATED = 120
 #: Lines that the trees learn from of one text of prose, and of one of another kind, which are fewer.
-FIT_LINES = (3, 10)
+FIT_LINES = (2, 7)
 #: Common words that are taken as one array in the plan; more are joined.
 LISTED_COMMON = 5_000
 
@@ -416,7 +416,7 @@ def train(texts: Iterable[str], common: frozenset[str], holdout: Iterable[tuple[
         chosen = order[place < np.where(kinds[order] > 0, FIT_LINES[1], FIT_LINES[0])]
         rows.append(x[chosen])
         labels.append(kinds[chosen])
-    trees = BoostedTrees(len(KINDS), rounds=30, depth=4).fit(np.concatenate(rows), np.concatenate(labels))
+    trees = BoostedTrees(len(KINDS), rounds=30, depth=4, step=2).fit(np.concatenate(rows), np.concatenate(labels))
     return TextKinds(trees, common).calibrate(*calibration_texts(holdout))
 
 
