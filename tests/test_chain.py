@@ -14,14 +14,14 @@ def rows(spark, text):
 
 def test_blocks_of_two_chains(spark):
     assert rows(spark, PLUS) == [
-        ("chr1", 100, 200, "chr1", 100, 200, "+"), ("chr1", 250, 350, "chr1", 250, 350, "+"), ("chr1", 400, 500, "chr1", 400, 500, "+"),
-        ("chr2", 0, 100, "chr2", 0, 100, "+"), ("chr2", 150, 200, "chr2", 150, 200, "+"),
+        ("chr7", 5000, 5120, "chr7", 12000, 12120, "+"), ("chr7", 5150, 5230, "chr7", 12165, 12245, "+"), ("chr7", 5290, 5430, "chr7", 12320, 12460, "+"),
+        ("chr9", 300, 335, "chr9", 610, 645, "+"), ("chr9", 350, 390, "chr9", 655, 695, "+"),
     ]
 
 
 def test_minus_sides_are_turned(spark):
-    assert rows(spark, MINUS) == [("chr2", 100, 200, "chr2", 800, 900, "-"), ("chr2", 250, 350, "chr2", 650, 750, "-")]
-    assert rows(spark, BOTH_MINUS) == [("chrA", 800, 900, "chrB", 1800, 1900, "-"), ("chrA", 650, 750, "chrB", 1650, 1750, "-")]
+    assert rows(spark, MINUS) == [("chr9", 1100, 1170, "chr9", 7030, 7100, "-"), ("chr9", 1195, 1290, "chr9", 6915, 7010, "-")]
+    assert rows(spark, BOTH_MINUS) == [("scafQ", 500, 560, "scafR", 825, 885, "-"), ("scafQ", 410, 480, "scafR", 730, 800, "-")]
 
 
 def test_blank_and_comment_lines_end_a_chain(spark):

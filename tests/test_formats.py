@@ -9,7 +9,7 @@ from anchorspan.plans import bed, files, gff, maf, region, sam, vcf, wig
 from anchorspan.sources import binary, chain, fasta, sink
 from anchorspan.sources import lines as text_lines
 from anchorspan.sources import wig as wig_source
-from tests.chains import MINUS, PLUS
+from tests.chains import BACK, MINUS, PLUS
 
 
 @pytest.fixture(scope="module")
@@ -28,51 +28,51 @@ def run(spark, plan, texts, *args):
 
 
 def test_bed(spark, plus):
-    got = run(spark, bed.convert, ["# head", "track x", "chr1 120 180", "chr1 150 300 n 5 - 1 2", "chr1 0 50 n", "chr1 x 50", "chr1 007 050 q", "chr1 1", "", "chr1 180 120", "chr1 120 180 n 5 ."], plus)
+    got = run(spark, bed.convert, ["# head", "track x", "chr7 5020 5080", "chr7 5100 5200 n 5 - 1 2", "chr7 0 50 n", "chr7 x 50", "chr7 007 050 q", "chr7 1", "", "chr7 180 120", "chr7 5020 5080 n 5 ."], plus)
     assert got == [
-        ("ok", ["chr1 120 180"], None), ("multi", ["chr1 150 200 n 5 -", "chr1 250 300 n 5 -"], None), ("unmapped", [], "chr1 0 50 n"), ("parse_error", [], "chr1 x 50"), ("unmapped", [], "chr1 7 50 q"),
-        ("parse_error", [], "chr1 1"), ("unmapped", [], "chr1 180 120"), ("ok", ["chr1 120 180 n 5 +"], None),
+        ("ok", ["chr7 12020 12080"], None), ("multi", ["chr7 12100 12120 n 5 -", "chr7 12165 12215 n 5 -"], None), ("unmapped", [], "chr7 0 50 n"), ("parse_error", [], "chr7 x 50"), ("unmapped", [], "chr7 7 50 q"),
+        ("parse_error", [], "chr7 1"), ("unmapped", [], "chr7 180 120"), ("ok", ["chr7 12020 12080 n 5 +"], None),
     ]
 
 
 @pytest.mark.parametrize("max_sent", [500_000, 0])
 def test_span_segments_in_both_forms(spark, max_sent):
     lifter = Lifter(chain.load(chain.lines_of(spark, PLUS)).blocks, max_sent=max_sent)
-    rows = [(1, "chr1", [(110, 120), (210, 220), (190, 260)], "+"), (2, "chr1", None, "-"), (3, "zz", [(1, 2)], "+"), (4, "chr1", [], "+"), (5, "1", [(150, 160)], "-")]
+    rows = [(1, "chr7", [(5010, 5020), (5125, 5135), (5110, 5160)], "+"), (2, "chr7", None, "-"), (3, "zz", [(1, 2)], "+"), (4, "chr7", [], "+"), (5, "7", [(5160, 5170)], "-")]
     df = spark.createDataFrame(rows, "rid long, chrom string, spans array<struct<s:long,e:long>>, strand string")
     got = lifter.with_span_segments(df, "rid", F.col("chrom"), F.col("spans"), F.col("strand"), "parts").orderBy("rid").collect()
     shown = [r.parts and [x and [(g.t_chrom, g.t_start, g.t_end, g.t_strand) for g in x] for x in r.parts] for r in got]
-    want = [[[("chr1", 110, 120, "+")], [], [("chr1", 190, 200, "+"), ("chr1", 250, 260, "+")]], None, [None], None, [[("1", 150, 160, "-")]]]
+    want = [[[("chr7", 12010, 12020, "+")], [], [("chr7", 12110, 12120, "+"), ("chr7", 12165, 12175, "+")]], None, [None], None, [[("7", 12175, 12185, "-")]]]
     assert [x or None for x in shown] == want
 
 
 def test_bed12(spark, plus, minus):
     texts = [
-        "chr1 110 340 g 5 + 120 330 0 2 20,30, 0,200, more", "chr1 110 340 g 5 + 120 330 0 2 20,30 0,95", "chr1 110 340 g 5 + 120 330 0 2 x 0,200", "chr1 110 190 g 5 + a b 0 1 80 0",
+        "chr7 5010 5225 g 5 + 5020 5215 0 2 20,30, 0,185, more", "chr7 5010 5225 g 5 + 5020 5215 0 2 20,30 0,110", "chr7 5010 5225 g 5 + 5020 5215 0 2 x 0,200", "chr7 5010 5090 g 5 + a b 0 1 80 0",
     ]
     got = run(spark, bed.convert, texts, plus)
-    assert got[0] == ("ok", ["chr1 110 340 g 5 + 120 330 0 2 20,30 0,200 more"], None)
+    assert got[0] == ("ok", ["chr7 12010 12240 g 5 + 12020 12230 0 2 20,30 0,200 more"], None)
     assert got[1][0] == "unmapped"  # the second block lies over a gap
-    assert got[2] == ("multi", ["chr1 110 200 g 5 + 120 200 0 2 x 0,200", "chr1 250 340 g 5 + 260 340 0 2 x 140,340"], None)
-    assert got[3] == ("ok", ["chr1 110 190 g 5 + 110 190 0 1 80 0"], None)
-    assert run(spark, bed.convert, ["chr2 110 340 g 5 + 120 330 0 2 20,30 0,200"], minus)[0][0] == "unmapped"
+    assert got[2] == ("multi", ["chr7 12010 12120 g 5 + 12020 12120 0 2 x 7000,7200", "chr7 12165 12240 g 5 + 12175 12240 0 2 x 7155,7355"], None)
+    assert got[3] == ("ok", ["chr7 12010 12090 g 5 + 12010 12090 0 1 80 0"], None)
+    assert run(spark, bed.convert, ["chr9 1110 1285 g 5 + 1120 1280 0 2 20,30 0,100"], minus)[0][0] == "unmapped"
 
 
 def test_region(spark, plus):
-    got = run(spark, region.convert, ["chr1 100 500 a", "chr1 100 350 a 0 -", "chr1 0 200 x", "chr9 1 5", "chr1 5 5", "chr1 9 5", "chr1 b 5"], plus, "at", 0.85)
+    got = run(spark, region.convert, ["chr7 5000 5430 a", "chr7 5000 5250 a 0 -", "chr7 4900 5120 x", "chr5 1 5", "chr7 5 5", "chr7 9 5", "chr7 b 5"], plus, "at", 0.85)
     assert got == [
-        ("LowRatio", [], "chr1 100 500 a Fail map_ratio=0.7500"), ("LowRatio", [], "chr1 100 350 a 0 - Fail map_ratio=0.8000"), ("ok", ["chr1 100 200 x map_ratio=1.0000"], None), ("Unmap", [], "chr9 1 5 Fail Unmap"),
-        ("InvalidFormat", [], "chr1 5 5 Fail InvalidFormat"), ("InvalidFormat", [], "chr1 9 5 Fail InvalidFormat"), ("InvalidFormat", [], "chr1 b 5 Fail InvalidFormat"),
+        ("LowRatio", [], "chr7 5000 5430 a Fail map_ratio=0.7907"), ("LowRatio", [], "chr7 5000 5250 a 0 - Fail map_ratio=0.8000"), ("ok", ["chr7 12000 12120 x map_ratio=1.0000"], None), ("Unmap", [], "chr5 1 5 Fail Unmap"),
+        ("InvalidFormat", [], "chr7 5 5 Fail InvalidFormat"), ("InvalidFormat", [], "chr7 9 5 Fail InvalidFormat"), ("InvalidFormat", [], "chr7 b 5 Fail InvalidFormat"),
     ]
-    assert run(spark, region.convert, ["chr1 100 350 a 0 -"], plus, "at", 0.75) == [("ok", ["chr1 100 350 a 0 - map_ratio=0.8000"], None)]
+    assert run(spark, region.convert, ["chr7 5000 5250 a 0 -"], plus, "at", 0.75) == [("ok", ["chr7 12000 12245 a 0 - map_ratio=0.8000"], None)]
     two = Lifter(chain.load(chain.lines_of(spark, "chain 1 a 100 + 0 40 b 100 + 0 40 1\n40\n\nchain 1 a 100 + 50 90 c 100 + 0 40 2\n40\n")).blocks)
     assert run(spark, region.convert, ["a 0 100"], two)[0][0] == "CrossChroms"
 
 
 def test_gff(spark, plus):
-    texts = ["##gff", "chr1 s exon 101 200 . + . ID=1 extra", "chr1 s exon 51 150 . + . ID=2", "chr1 s exon 101 200 . ? . x", "chr1 s exon 201 250 . . . x", "chr1 s exon 101 200 . . 0 y", "chr1 s exon 101"]
+    texts = ["##gff", "chr7 s exon 5001 5120 . + . ID=1 extra", "chr7 s exon 4951 5050 . + . ID=2", "chr7 s exon 5001 5120 . ? . x", "chr7 s exon 5121 5150 . . . x", "chr7 s exon 5001 5120 . . 0 y", "chr7 s exon 5001"]
     assert [(s, o) for s, o, _ in run(spark, gff.convert, texts, plus)] == [
-        ("ok", ["chr1 s exon 101 200 . + . ID=1"]), ("resized", []), ("parse_error", []), ("unmapped", []), ("ok", ["chr1 s exon 101 200 . + 0 y"]), ("parse_error", []),
+        ("ok", ["chr7 s exon 12001 12120 . + . ID=1"]), ("resized", []), ("parse_error", []), ("unmapped", []), ("ok", ["chr7 s exon 12001 12120 . + 0 y"]), ("parse_error", []),
     ]
 
 
@@ -95,15 +95,15 @@ def test_fasta_over_splits(spark):
 
 
 def test_vcf(spark, plus, minus):
-    texts = ["##x", "chr1 151 r1 A G,A 30 PASS DP=1;END=9;CIEND=5 GT 0/1", "chr1 201 . A G . . .", "chr1 y . A G . . .", "chr1 151 . ACG <DEL>,AT . . DB"]
+    texts = ["##x", "chr7 5011 r1 A G,A 30 PASS DP=1;END=9;CIEND=5 GT 0/1", "chr7 5121 . A G . . .", "chr7 y . A G . . .", "chr7 5011 . ACG <DEL>,AT . . DB"]
     assert run(spark, vcf.convert, texts, plus) == [
-        ("ok", ["chr1 151 r1 A G 30 PASS DP=1;END=151;CIEND=151 GT 0/1"], None), ("Unmap", [], "chr1 201 . A G . . . Fail(Unmap)"), ("ParseError", [], "chr1 y . A G . . . Fail(ParseError)"),
-        ("ok", ["chr1 151 . ACG <DEL>,AT . . DB"], None),
+        ("ok", ["chr7 12011 r1 A G 30 PASS DP=1;END=12011;CIEND=12011 GT 0/1"], None), ("Unmap", [], "chr7 5121 . A G . . . Fail(Unmap)"), ("ParseError", [], "chr7 y . A G . . . Fail(ParseError)"),
+        ("ok", ["chr7 12011 . ACG <DEL>,AT . . DB"], None),
     ]
-    assert run(spark, vcf.convert, ["chr2 121 . A G,ACC . . ."], minus) == [("ok", ["chr2 880 . A C,AGG . . ."], None)]
-    bases = reference(spark, ">chr1\n" + "ACGTTGCA" * 30)
-    got = run(spark, vcf.convert, ["chr1 151 . ACG G,AT,C . . .", "chr1 481 . A G . . ."], plus, fasta_chunked(bases))
-    assert got == [("ok", ["chr1 151 . C CT . . ."], None), ("KeyError", [], "chr1 481 . A G . . . Fail(KeyError)")]
+    assert run(spark, vcf.convert, ["chr9 1121 . A G,ACC . . ."], minus) == [("ok", ["chr9 7080 . A C,AGG . . ."], None)]
+    bases = reference(spark, ">chr7\n" + "ACGTTGCA" * 1540)
+    got = run(spark, vcf.convert, ["chr7 5011 . ACG G,AT,C . . .", "chr7 5301 . A G . . ."], plus, fasta_chunked(bases))
+    assert got == [("ok", ["chr7 12011 . G GT . . ."], None), ("KeyError", [], "chr7 5301 . A G . . . Fail(KeyError)")]
 
 
 def fasta_chunked(chunks):
@@ -118,12 +118,12 @@ def test_multiple_hits(spark):
 
 
 def test_gvcf(spark, plus, minus):
-    texts = ["chr1 151 . A <NON_REF> . . END=180;DP=5 GT 0/0", "chr1 151 . C T 30 PASS DP=9", "chr1 151 . A G,T . . .", "chr1 190 . A . . . END=220", "chr1 160 . A <*> . . END=300"]
+    texts = ["chr7 5011 . A <NON_REF> . . END=5040;DP=5 GT 0/0", "chr7 5011 . C T 30 PASS DP=9", "chr7 5011 . A G,T . . .", "chr7 5110 . A . . . END=5140", "chr7 5100 . A <*> . . END=5200"]
     assert run(spark, vcf.convert_gvcf, texts, plus) == [
-        ("ok", ["chr1 151 . A <NON_REF> . . END=180;DP=5 GT 0/0"], None), ("ok", ["chr1 151 . C T 30 PASS DP=9"], None), ("ok", ["chr1 151 . A G,T . . ."], None), ("ok", ["chr1 190 . A . . . END=200"], None),
-        ("Multiple", [], "chr1 160 . A <*> . . END=300"),
+        ("ok", ["chr7 12011 . A <NON_REF> . . END=12040;DP=5 GT 0/0"], None), ("ok", ["chr7 12011 . C T 30 PASS DP=9"], None), ("ok", ["chr7 12011 . A G,T . . ."], None), ("ok", ["chr7 12110 . A . . . END=12120"], None),
+        ("Multiple", [], "chr7 5100 . A <*> . . END=5200"),
     ]
-    assert run(spark, vcf.convert_gvcf, ["chr2 121 . A AC . . .", "chr2 121 . A T . . ."], minus) == [("ok", ["chr2 880 . A GT . . ."], None), ("ok", ["chr2 880 . A  . . ."], None)]
+    assert run(spark, vcf.convert_gvcf, ["chr9 1121 . A AC . . .", "chr9 1121 . A T . . ."], minus) == [("ok", ["chr9 7080 . A GT . . ."], None), ("ok", ["chr9 7080 . A  . . ."], None)]
 
 
 def test_vcf_headers():
@@ -137,12 +137,12 @@ MAF_HEAD = "Hugo NCBI_Build Chromosome Start_Position End_Position Strand Refere
 
 
 def test_maf(spark, plus, minus):
-    texts = ["#version", "early", MAF_HEAD, "G old chr1 151 152 + AC T", "G old chr1 201 201 + A T", "G old chr1 x 5 + A T", "short"]
+    texts = ["#version", "early", MAF_HEAD, "G old chr7 5011 5012 + AC T", "G old chr7 5121 5121 + A T", "G old chr7 x 5 + A T", "short"]
     assert run(spark, maf.convert, texts, plus, "new") == [
-        ("no_header", [], "early"), ("ok", ["G new chr1 151 152 + AC T"], None), ("unmapped", [], "G old chr1 201 201 + A T"), ("parse_error", [], "G old chr1 x 5 + A T"), ("parse_error", [], "short"),
+        ("no_header", [], "early"), ("ok", ["G new chr7 12011 12012 + AC T"], None), ("unmapped", [], "G old chr7 5121 5121 + A T"), ("parse_error", [], "G old chr7 x 5 + A T"), ("parse_error", [], "short"),
     ]
-    bases = fasta_chunked(reference(spark, ">chr2\n" + "ACGTTGCA" * 200))
-    assert run(spark, maf.convert, [MAF_HEAD, "G old chr2 121 123 + AAA T"], minus, "new", bases) == [("ok", ["G new chr2 878 880 + TGC T"], None)]
+    bases = fasta_chunked(reference(spark, ">chr9\n" + "ACGTTGCA" * 1000))
+    assert run(spark, maf.convert, [MAF_HEAD, "G old chr9 1121 1123 + AAA T"], minus, "new", bases) == [("ok", ["G new chr9 7078 7080 + TGC T"], None)]
 
 
 def points(spark, texts):
@@ -176,16 +176,16 @@ def test_wig_merge(spark):
 
 
 SAM_READS = [
-    "r1 0 chr2 121 60 10M2S = 7 9 AACGTNacgtAC ABCDEFGHIJKL NM:i:1 OC:Z:x", "r2 16 chr2 121 60 5M * 0 0 AACGT *", "r3 4 * 0 0 * * 0 0 AC FF XX:Z:q", "r4 0 chr9 5 3 2M * 0 0 AC FF", "r5 1 chr2 121 9 2M * 0 0 * *",
+    "r1 0 chr9 1121 60 10M2S = 7 9 AACGTNacgtAC ABCDEFGHIJKL NM:i:1 OC:Z:x", "r2 16 chr9 1121 60 5M * 0 0 AACGT *", "r3 4 * 0 0 * * 0 0 AC FF XX:Z:q", "r4 0 chr5 5 3 2M * 0 0 AC FF", "r5 1 chr9 1121 9 2M * 0 0 * *",
 ]
 
 
 def test_sam(spark, minus):
     reads = sam.parsed(text_lines.from_rows(spark, ["@HD\tVN:1.0"] + [r.replace(" ", "\t") for r in SAM_READS]))
-    done = sam.convert(reads.withColumn("flag0", F.col("flag")), minus, target_names=["chr2"])
+    done = sam.convert(reads.withColumn("flag0", F.col("flag")), minus, target_names=["chr9"])
     got = [r.line.replace("\t", " ") for r in done.withColumn("line", sam.line(done)).orderBy("at").collect()]
     assert got == [
-        "r1 16 chr2 871 60 2S10M * 1 0 GTACGTNACGTT LKJIHGFEDCBA NM:i:1", "r2 0 chr2 876 60 5M * 1 0 ACGTT *", "r3 4 * 1 255 * * 1 0 AC FF", "r4 4 * 1 255 * * 1 0 AC FF", "r5 17 chr2 879 9 2M * 1 0 * *",
+        "r1 16 chr9 7071 60 2S10M * 1 0 GTACGTNACGTT LKJIHGFEDCBA NM:i:1", "r2 0 chr9 7076 60 5M * 1 0 ACGTT *", "r3 4 * 1 255 * * 1 0 AC FF", "r4 4 * 1 255 * * 1 0 AC FF", "r5 17 chr9 7079 9 2M * 1 0 * *",
     ]
     assert {(r.status, r.paired, r.n) for r in sam.stats(done, "flag0").collect()} == {("mapped", False, 2), ("mapped", True, 1), ("unmapped", False, 1), ("failed", False, 1)}
     assert [r.status for r in sam.convert(reads, minus, target_names=[]).where("qname = 'r1'").collect()] == ["failed"]
@@ -257,30 +257,31 @@ def test_files(spark, tmp_path):
     path = lambda n: str(tmp_path / n)
     with gzip.open(path("a.chain.gz"), "wt") as f:
         f.write(PLUS)
-    (tmp_path / "in.bed").write_text("# h\nchr1\t120\t180\tx\r\nchr1\t0\t5\nchr1\t150\t300\n")
+    (tmp_path / "in.bed").write_text("# h\nchr7\t5020\t5080\tx\r\nchr7\t0\t5\nchr7\t5100\t5200\n")
     assert files.convert_bed(spark, path("a.chain.gz"), path("in.bed"), path("out.bed")) == {"total": 3, "success": 2, "failed": 1, "multi": 1}
-    assert (tmp_path / "out.bed").read_text() == "# h\nchr1\t120\t180\tx\nchr1\t150\t200\nchr1\t250\t300\n"
-    assert (tmp_path / "out.bed.unmap").read_text() == "chr1\t0\t5\n"
+    assert (tmp_path / "out.bed").read_text() == "# h\nchr7\t12020\t12080\tx\nchr7\t12100\t12120\nchr7\t12165\t12215\n"
+    assert (tmp_path / "out.bed.unmap").read_text() == "chr7\t0\t5\n"
     assert files.convert_bed(spark, path("a.chain.gz"), path("in.bed"), path("folder"), single=False)["total"] == 3
     assert spark.read.text(path("folder/side=mapped")).count() == 3
-    (tmp_path / "in.vcf").write_text("##fileformat=x\n#CHROM\tPOS\nchr1\t151\t.\tA\tG\t.\t.\t.\nchr1\t1\t.\tA\tG\t.\t.\t.\n")
-    (tmp_path / "r.fa").write_text(">chr1\n" + "ACGT" * 100 + "\n")
+    (tmp_path / "in.vcf").write_text("##fileformat=x\n#CHROM\tPOS\nchr7\t5011\t.\tA\tG\t.\t.\t.\nchr7\t1\t.\tA\tG\t.\t.\t.\n")
+    (tmp_path / "r.fa").write_text(">chr7\n" + "ACGT" * 3100 + "\n")
     assert files.convert_vcf(spark, path("a.chain.gz"), path("in.vcf"), path("r.fa"), path("out.vcf"))["success"] == 1
-    assert (tmp_path / "out.vcf").read_text() == f"##fileformat=x\n##contig=<ID=chr1,length=400>\n{vcf.PROGRAM}\n#CHROM\tPOS\nchr1\t151\t.\tG\t\t.\t.\t.\n"
+    assert (tmp_path / "out.vcf").read_text() == f"##fileformat=x\n##contig=<ID=chr7,length=12400>\n{vcf.PROGRAM}\n#CHROM\tPOS\nchr7\t12011\t.\tG\t\t.\t.\t.\n"
     assert (tmp_path / "out.vcf.unmap").read_text().splitlines()[-1].endswith("Fail(Unmap)")
-    (tmp_path / "in.wig").write_text("fixedStep chrom=chr1 start=101 step=10 span=10\n1\n1\n2\nx\nvariableStep chrom=chr1\n1 5\n")
+    (tmp_path / "in.wig").write_text("fixedStep chrom=chr7 start=5001 step=10 span=10\n1\n1\n2\nx\nvariableStep chrom=chr7\n1 5\n")
     assert files.convert_wig(spark, path("a.chain.gz"), path("in.wig"), path("w")) == {"total": 4, "success": 3, "failed": 2, "merged": 1}
-    assert (tmp_path / "w.wig").read_text() == "variableStep chrom=chr1 span=20\n101\t1\n121\t2\n"
-    assert (tmp_path / "w.unmap.wig").read_text() == "variableStep chrom=chr1\n1\t5\n"
-    binary.write_bigwig(path("in.bw"), [("chr1", 1000)], [("chr1", 100, 110, 1.0), ("chr1", 110, 120, 1.0), ("chr1", 220, 230, 2.0)])
+    assert (tmp_path / "w.wig").read_text() == "variableStep chrom=chr7 span=20\n12001\t1\n12021\t2\n"
+    assert (tmp_path / "w.unmap.wig").read_text() == "variableStep chrom=chr7\n1\t5\n"
+    binary.write_bigwig(path("in.bw"), [("chr7", 6000)], [("chr7", 5000, 5010, 1.0), ("chr7", 5010, 5020, 1.0), ("chr7", 5125, 5135, 2.0)])
     assert files.convert_bigwig(spark, path("a.chain.gz"), path("in.bw"), path("out.bw")) == {"total": 3, "success": 2, "failed": 1, "merged": 1}
-    assert (tmp_path / "out.bw.unmap.bedGraph").read_text() == "chr1\t220\t230\t2\n"
-    assert list(binary.BigWig(path("out.bw")).intervals(0)) == [(100, 120, 1.0)]
-    (tmp_path / "in.sam").write_text("@HD\tVN:1.0\n@PG\tID:x\tjunk\n" + "r1\t0\tchr1\t121\t60\t5M\t*\t0\t0\tAACGT\tABCDE\n")
+    assert (tmp_path / "out.bw.unmap.bedGraph").read_text() == "chr7\t5125\t5135\t2\n"
+    assert list(binary.BigWig(path("out.bw")).intervals(0)) == [(12000, 12020, 1.0)]
+    (tmp_path / "in.sam").write_text("@HD\tVN:1.0\n@PG\tID:x\tjunk\n" + "r1\t0\tchr7\t5021\t60\t5M\t*\t0\t0\tAACGT\tABCDE\n")
     want = {"total": 1, "mapped": 1, "failed": 0, "unmapped": 0, "paired": 0, "single": 1}
     assert files.convert_alignments(spark, path("a.chain.gz"), path("in.sam"), path("out.bam")) == want
-    assert files.convert_alignments(spark, path("a.chain.gz"), path("out.bam"), path("back.sam")) == want
-    assert (tmp_path / "back.sam").read_text().splitlines()[-2:] == ["@PG\tID:x", "r1\t0\tchr1\t121\t60\t5M\t*\t1\t0\tAACGT\tABCDE"]
+    (tmp_path / "back.chain").write_text(BACK)
+    assert files.convert_alignments(spark, path("back.chain"), path("out.bam"), path("back.sam")) == want
+    assert (tmp_path / "back.sam").read_text().splitlines()[-2:] == ["@PG\tID:x", "r1\t0\tchr7\t5021\t60\t5M\t*\t1\t0\tAACGT\tABCDE"]
     with pytest.raises(ValueError):
         files.convert_alignments(spark, path("a.chain.gz"), path("a.cram"), path("b.sam"))
 
@@ -288,7 +289,7 @@ def test_files(spark, tmp_path):
 def test_parts_out_of_sight_fail(spark, tmp_path, monkeypatch):
     """Where the tasks' disks are not the driver's, nothing is written and nothing is lost silently."""
     (tmp_path / "a.chain").write_text(PLUS)
-    (tmp_path / "in.bed").write_text("chr1\t120\t180\n" * 50)
+    (tmp_path / "in.bed").write_text("chr7\t5020\t5080\n" * 50)
     monkeypatch.setattr(sink.Target, "parts", lambda self, folder: [])
     with pytest.raises(OSError, match="share"):
         files.convert_bed(spark, str(tmp_path / "a.chain"), str(tmp_path / "in.bed"), str(tmp_path / "out.bed"))
@@ -303,11 +304,11 @@ def test_contigs_come_in_file_order(spark):
 
 def test_command_line(spark, tmp_path):
     (tmp_path / "a.chain").write_text(PLUS)
-    (tmp_path / "in.bed").write_text("chr1\t100\t350\n")
+    (tmp_path / "in.bed").write_text("chr7\t5000\t5250\n")
     a, i, o = (str(tmp_path / n) for n in ("a.chain", "in.bed", "out.bed"))
     assert cli.main(["region", a, i, o, "-r", "0.75"])["success"] == 1
-    assert (tmp_path / "out.bed").read_text() == "chr1\t100\t350\tmap_ratio=0.8000\n"
+    assert (tmp_path / "out.bed").read_text() == "chr7\t12000\t12245\tmap_ratio=0.8000\n"
     assert cli.main(["--compat-mode", "strict", "bed", a, i, o, "--chromid", "s"])["multi"] == 1
-    assert (tmp_path / "out.bed").read_text() == "1\t100\t200\n1\t250\t350\n"
+    assert (tmp_path / "out.bed").read_text() == "7\t12000\t12120\n7\t12165\t12245\n"
     for line in (["gff", a, i], ["vcf", a, i, "r"], ["gvcf", a, i, "r"], ["maf", a, i, "r", "-b", "x"], ["wig", a, i], ["bigwig", a, i], ["bam", a, i, o]):
         assert cli.parser().parse_args(line).command == line[0]

@@ -22,11 +22,11 @@ def lifted(spark, text, queries, style="a", max_sent=500_000, width=64):
 
 
 PROBES = [
-    (("chr1", 120, 180, "+"), [(120, 180, "chr1", 120, 180, "+")]), (("chr1", 120, 180, "-"), [(120, 180, "chr1", 120, 180, "-")]), (("chr1", 50, 150, "+"), [(100, 150, "chr1", 100, 150, "+")]),
-    (("chr1", 0, 50, "+"), []), (("chrNONE", 0, 50, "+"), None), (("1", 150, 160, "+"), [(150, 160, "1", 150, 160, "+")]), (("CHR1", 150, 160, "+"), [(150, 160, "chr1", 150, 160, "+")]),
-    (("Chr1", 150, 160, "+"), [(150, 160, "chr1", 150, 160, "+")]), (("chr1", 150, 300, "+"), [(150, 200, "chr1", 150, 200, "+"), (250, 300, "chr1", 250, 300, "+")]), (("chr1", 220, 240, "+"), []),
-    (("chr1", 200, 250, "+"), []), (("chr1", 150, 150, "+"), [(150, 150, "chr1", 150, 150, "+")]), ((None, 1, 5, "+"), None), (("chr1", None, 5, "+"), []), (("chr1", 180, 120, "+"), []),
-    (("chr1", 120, 180, None), [(120, 180, "chr1", 120, 180, "+")]), (("chr1", -5, 101, "+"), [(100, 101, "chr1", 100, 101, "+")]), (("", 1, 5, "+"), None),
+    (("chr7", 5020, 5080, "+"), [(5020, 5080, "chr7", 12020, 12080, "+")]), (("chr7", 5020, 5080, "-"), [(5020, 5080, "chr7", 12020, 12080, "-")]), (("chr7", 4950, 5050, "+"), [(5000, 5050, "chr7", 12000, 12050, "+")]),
+    (("chr7", 0, 50, "+"), []), (("chrNONE", 0, 50, "+"), None), (("7", 5160, 5170, "+"), [(5160, 5170, "7", 12175, 12185, "+")]), (("CHR7", 5160, 5170, "+"), [(5160, 5170, "chr7", 12175, 12185, "+")]),
+    (("Chr7", 5160, 5170, "+"), [(5160, 5170, "chr7", 12175, 12185, "+")]), (("chr7", 5100, 5200, "+"), [(5100, 5120, "chr7", 12100, 12120, "+"), (5150, 5200, "chr7", 12165, 12215, "+")]), (("chr7", 5125, 5145, "+"), []),
+    (("chr7", 5120, 5150, "+"), []), (("chr7", 5160, 5160, "+"), [(5160, 5160, "chr7", 12175, 12175, "+")]), ((None, 1, 5, "+"), None), (("chr7", None, 5, "+"), []), (("chr7", 5080, 5020, "+"), []),
+    (("chr7", 5020, 5080, None), [(5020, 5080, "chr7", 12020, 12080, "+")]), (("chr7", -5, 5001, "+"), [(5000, 5001, "chr7", 12000, 12001, "+")]), (("", 1, 5, "+"), None),
 ]
 
 
@@ -36,12 +36,12 @@ def test_probes_in_both_forms(spark, max_sent):
 
 
 def test_minus_target_measures_from_its_end(spark):
-    assert lifted(spark, MINUS, [("chr2", 120, 150, "+"), ("chr2", 120, 150, "-")]) == [[(120, 150, "chr2", 850, 880, "-")], [(120, 150, "chr2", 850, 880, "+")]]
+    assert lifted(spark, MINUS, [("chr9", 1120, 1150, "+"), ("chr9", 1120, 1150, "-")]) == [[(1120, 1150, "chr9", 7050, 7080, "-")], [(1120, 1150, "chr9", 7050, 7080, "+")]]
 
 
-@pytest.mark.parametrize(("style", "name"), [("s", "1"), ("l", "chr1"), ("a", "chr1")])
+@pytest.mark.parametrize(("style", "name"), [("s", "7"), ("l", "chr7"), ("a", "chr7")])
 def test_styles(spark, style, name):
-    assert lifted(spark, PLUS, [("chr1", 120, 180, "+")], style)[0][0][2] == name
+    assert lifted(spark, PLUS, [("chr7", 5020, 5080, "+")], style)[0][0][2] == name
 
 
 def test_no_records_and_no_blocks(spark):
@@ -87,7 +87,7 @@ def test_random_against_brute_force(spark, seed):
 
 
 def test_both_minus(spark):
-    assert lifted(spark, BOTH_MINUS, [("chrA", 810, 820, "+")]) == [[(810, 820, "chrB", 1880, 1890, "-")]]
+    assert lifted(spark, BOTH_MINUS, [("scafQ", 510, 520, "+")]) == [[(510, 520, "scafR", 865, 875, "-")]]
 
 
 def test_interval_join_against_brute_force(spark):

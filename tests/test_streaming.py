@@ -11,7 +11,7 @@ SCHEMA = "id long, chrom string, start long, end long, strand string, at timesta
 
 def test_lift_of_a_stream(spark, tmp_path):
     lifter = Lifter(chain.load(chain.lines_of(spark, PLUS)).blocks)
-    rows = [(1, "chr1", 120, 180, "+"), (1, "chr1", 120, 180, "+"), (2, "chr1", 0, 50, "+"), (3, "zz", 0, 50, "+"), (4, "chr1", 150, 300, "-")]
+    rows = [(1, "chr7", 5020, 5080, "+"), (1, "chr7", 5020, 5080, "+"), (2, "chr7", 0, 50, "+"), (3, "zz", 0, 50, "+"), (4, "chr7", 5100, 5200, "-")]
     df = spark.createDataFrame([(*r,) for r in rows], "id long, chrom string, start long, end long, strand string").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")))
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
@@ -31,7 +31,7 @@ def test_lift_of_a_stream(spark, tmp_path):
 def test_batches_are_lifted_by_the_join(spark, tmp_path):
     """Blocks that are not sent to the workers: the result is that of the projection."""
     lifter = Lifter(chain.load(chain.lines_of(spark, PLUS)).blocks, max_sent=0)
-    rows = [(1, "chr1", 120, 180, "+"), (2, "chr1", 0, 50, "+"), (3, "zz", 0, 50, "+"), (4, "1", 150, 300, "-"), (5, None, 1, 2, None)]
+    rows = [(1, "chr7", 5020, 5080, "+"), (2, "chr7", 0, 50, "+"), (3, "zz", 0, 50, "+"), (4, "7", 5100, 5200, "-"), (5, None, 1, 2, None)]
     spark.createDataFrame(rows, "id long, chrom string, start long, end long, strand string").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id"))).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
     got = {}
@@ -39,6 +39,6 @@ def test_batches_are_lifted_by_the_join(spark, tmp_path):
     q = lift.lift_batches(stream, lifter, F.col("chrom"), F.col("start"), F.col("end"), F.col("strand"), write).option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
-    assert got == {0: [(1, "ok", [("chr1", 120)]), (2, "unmapped", []), (3, "unknown_chrom", None), (4, "multi", [("1", 150), ("1", 250)]), (5, "unknown_chrom", None)]}
+    assert got == {0: [(1, "ok", [("chr7", 12020)]), (2, "unmapped", []), (3, "unknown_chrom", None), (4, "multi", [("7", 12100), ("7", 12165)]), (5, "unknown_chrom", None)]}
     with pytest.raises(ValueError):
         lift.lift_stream(stream, lifter, F.col("chrom"), F.col("start"), F.col("end"), F.col("strand"))
