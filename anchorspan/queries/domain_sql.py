@@ -236,7 +236,7 @@ SELECT line_id, status, CASE WHEN status = 'ok' THEN {MAF_LINE.format(ref="nr")}
     "lift_wig": f"""WITH pt AS (SELECT * FROM {POINTS}), {segments("SELECT point_id AS rid, chrom AS q_chrom, point_start AS q_start, point_end AS q_end, '+' AS q_strand FROM pt WHERE point_value IS NOT NULL").strip()},
 m AS (SELECT rid, max(n) AS n FROM s GROUP BY 1), f AS (SELECT * FROM s WHERE n = 1)
 SELECT point_id, CASE WHEN point_value IS NULL THEN 'no_value' WHEN m.n IS NULL THEN 'unmapped' WHEN m.n > 1 THEN 'multiple' ELSE 'ok' END AS status, t_chrom, t_start, t_end FROM pt LEFT JOIN m ON point_id = m.rid LEFT JOIN f ON point_id = f.rid""",
-    "wig_merge": f"""WITH pt AS (SELECT point_id, concat_ws('|', track_id, {chrom_key_sql("chrom")}) AS c, point_start AS s, point_end AS e, isnan(point_value) AS odd, CASE WHEN NOT isnan(point_value) THEN floor(point_value * 2) / 2 + 0.0 END AS v FROM {POINTS}),
+    "wig_merge": f"""WITH pt AS (SELECT point_id, concat_ws('|', track_id, {chrom_key_sql("chrom")}) AS c, point_start AS s, point_end AS e, CAST(point_value AS VARCHAR) = 'nan' AS odd, CASE WHEN CAST(point_value AS VARCHAR) <> 'nan' THEN floor(point_value * 2) / 2 + 0.0 END AS v FROM {POINTS}),
 a AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS nv FROM pt WINDOW w AS (PARTITION BY c ORDER BY s, point_id)),
 b AS (SELECT *, sum(nv) OVER (PARTITION BY c ORDER BY s, point_id) AS g FROM a),
 d AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY c, g ORDER BY s, point_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS gap FROM b),
@@ -246,7 +246,7 @@ SELECT c AS chrom, min(s) AS start, max(e) AS "end", v AS value FROM f WHERE v I
 x AS (SELECT point_id * 4 AS line_no, chrom, point_start AS s, point_end AS e, point_value AS v, NULL AS wrong FROM pt WHERE point_id % 3 = 0 AND point_value IS NOT NULL
 UNION ALL SELECT point_id * 4 + 1, chrom, point_start, point_end, point_value, 'invalid number' FROM pt WHERE point_id % 3 = 1
 UNION ALL SELECT point_id * 4 + k, chrom, point_start + 7 * (k - 1), point_end + 7 * (k - 1), point_value, 'invalid number' FROM pt, (SELECT unnest([1, 2]) AS k) WHERE point_id % 3 = 2)
-SELECT line_no, CASE WHEN v IS NULL THEN wrong END AS error, CASE WHEN v IS NOT NULL THEN chrom END AS chrom, CASE WHEN v IS NOT NULL THEN s END AS start, CASE WHEN v IS NOT NULL THEN e END AS "end", CASE WHEN NOT isnan(v) THEN v + 0.0 END AS value FROM x""",
+SELECT line_no, CASE WHEN v IS NULL THEN wrong END AS error, CASE WHEN v IS NOT NULL THEN chrom END AS chrom, CASE WHEN v IS NOT NULL THEN s END AS start, CASE WHEN v IS NOT NULL THEN e END AS "end", CASE WHEN CAST(v AS VARCHAR) <> 'nan' THEN v + 0.0 END AS value FROM x""",
     "bedgraph_lines": f"""WITH t AS (SELECT *, CAST(point_value + 0.0 AS VARCHAR) AS v FROM {POINTS} WHERE point_value IS NOT NULL AND chrom IS NOT NULL),
 d AS (SELECT *, starts_with(v, '-') AS neg, replace(replace(regexp_extract(v, '^-?([0-9.]+)e', 1), '.', ''), '-', '') AS m, CAST(nullif(regexp_extract(v, 'e-([0-9]+)$', 1), '') AS INTEGER) AS small FROM t)
 SELECT point_id, concat_ws(chr(9), chrom, point_start, point_end, CASE WHEN v = 'nan' THEN 'NaN' WHEN small IS NOT NULL THEN CASE WHEN neg THEN '-' ELSE '' END || '0.' || repeat('0', small - 1) || m ELSE regexp_replace(v, '\\.0$', '') END) AS line FROM d""",
